@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import site_lines, tokens
+from feedloom.llm import site_lines, spans, tokens
 from feedloom.session import table
 
 
@@ -30,11 +30,26 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count(table(spark, d, "documents"))
 
 
+def p10_method(spark: SparkSession, d: str) -> DataFrame:
+    return spans.method_classes(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.span_pairs(table(spark, d, "documents"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shares(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
+    "p10_method": p10_method,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
 }
 
 SQL = {
