@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import site_lines, spans, tokens
+from feedloom.llm import markup, site_lines, spans, tokens
 from feedloom.session import table
 
 
@@ -22,6 +22,14 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.removed(table(spark, d, "items"), site_lines.candidates(found).select("row_id", "line_no"), "item_row", "content_html")
 
 
+def p6_method(spark: SparkSession, d: str) -> DataFrame:
+    return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), "content_html")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_languages(table(spark, d, "items"), "item_row", (("summary", False), ("content_html", True)))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -45,6 +53,8 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
+    "p6_method": p6_method,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
     "p10_method": p10_method,
