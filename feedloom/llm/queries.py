@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import markup, site_lines, spans, tokens
+from feedloom.llm import markup, site_lines, spans, tokens, truncation
 from feedloom.session import table
 
 
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "items"), "item_row", ("summary", "content_text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("truncated").select("item_row", "field")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(_truncated(spark, d))
+
+
 def _site_lines(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.lines(table(spark, d, "items"), "item_row", "feed_idx", "content_html")
 
@@ -51,6 +63,8 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
     "p6_method": p6_method,
