@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import markup, site_lines, spans, tokens, truncation
+from feedloom.llm import markup, mojibake, site_lines, spans, tokens, truncation
 from feedloom.session import table
 
 
@@ -34,6 +34,19 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.removed(table(spark, d, "items"), site_lines.candidates(found).select("row_id", "line_no"), "item_row", "content_html")
 
 
+GARBLED = ("title", "content_html")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    model, _ = mojibake.train(table(spark, d, "documents"), "text", "doc_id")
+    return mojibake.found(table(spark, d, "items"), "item_row", GARBLED, model)
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    model, _ = mojibake.train(table(spark, d, "documents"), "text", "doc_id")
+    return mojibake.restored(table(spark, d, "items"), "item_row", GARBLED, model)
+
+
 def p6_method(spark: SparkSession, d: str) -> DataFrame:
     return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), "content_html")
 
@@ -67,6 +80,8 @@ QUERIES = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p6_method": p6_method,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
