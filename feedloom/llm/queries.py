@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import markup, mojibake, site_lines, spans, tokens, truncation
+from feedloom.llm import markup, mixing, mojibake, site_lines, spans, tokens, truncation
 from feedloom.session import table
 
 
@@ -63,6 +63,14 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.count(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_method(spark: SparkSession, d: str) -> DataFrame:
     return spans.method_classes(table(spark, d, "documents"))
 
@@ -86,6 +94,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_method": p10_method,
     "p10_found": p10_found,
     "p10_shares": p10_shares,

@@ -216,7 +216,8 @@ def _counts(batches: Iterator, path: str) -> Iterator:
         n = []
         for t in b.column(1).to_pylist():
             n.append(sum(map(len, map(enc.pieces.__getitem__, enc.split(t)))) if t else 0)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+        rest = b.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(b.column(c) for c in rest)], names=["doc_id", "n_tokens", *rest])
 
 
 def _path(folder: str | None, name: str) -> str:
@@ -229,7 +230,8 @@ def encode(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABUL
     return slim.mapInArrow(partial(_ids, path=_path(folder, vocabulary)), "doc_id bigint, ids array<int>")
 
 
-def count(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens``; 0 for null and empty texts."""
-    slim = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(partial(_counts, path=_path(folder, vocabulary)), "doc_id bigint, n_tokens bigint")
+def count(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens`` and a column to ``keep``; 0 for null and empty texts."""
+    slim = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(keep)] if keep else []))
+    more = f", `{keep}` {docs.schema[keep].dataType.simpleString()}" if keep else ""
+    return slim.mapInArrow(partial(_counts, path=_path(folder, vocabulary)), "doc_id bigint, n_tokens bigint" + more)
