@@ -50,7 +50,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table: a cut in the lineage that outlives executors."""
     path = scratch_path(df.sparkSession, name)
-    w = df.write.mode("error")
+    w = df.write.mode("error").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
