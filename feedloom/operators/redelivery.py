@@ -11,20 +11,21 @@ partition of every stored key.  A batch is merged in four steps:
    folders, and one manifest is published by an atomic rename.  Readers follow the newest manifest, so they see the
    state before or after a merge and nothing between; a merge that died leaves only unreferenced folders.
 
-Defined results: rows whose key is null (no identifier) are never copies and are all kept; ties of the order
-column between rows of a key are broken by the remaining columns' hash, so one row wins even if whole rows repeat;
-an empty batch changes nothing; a payload may have any columns that aren't named in ``RESERVED``.
+Defined results: rows whose key is null (no identifier) are never copies and are all kept; the least of the order
+column wins, null after all others; ties are broken by a hash of the whole row, so one row wins even if whole rows
+repeat; an empty batch changes nothing; a row's columns travel in one struct, so their names can't clash with the store's.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RESERVED = ("__key", "__order", "__part", "__home", "__tie")
+INDEX = "key string, part int"
 
 
 def entry_key(scope: str = "feed_idx", id_col: str = "id", url_col: str = "url") -> Column:
@@ -33,22 +34,26 @@ def entry_key(scope: str = "feed_idx", id_col: str = "id", url_col: str = "url")
     return F.when(ident.isNotNull(), F.concat(F.coalesce(F.col(scope).cast("string"), F.lit("")), F.lit("\u0001"), ident))
 
 
+def _packed(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """``key``, the row as one struct, and what decides between rows of a key."""
+    rank = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), F.xxhash64(*_hashable(rows)).alias("tie"))
+    return rows.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), rank.alias("rank"))
+
+
+def _least(packed: DataFrame, *more: str) -> DataFrame:
+    """One row per key.  An aggregation, not a window: it combines before the shuffle, so a hot key stays small."""
+    return packed.groupBy("key").agg(F.min_by(F.struct("row", "rank", *more), "rank").alias("r")).select("key", "r.*")
+
+
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """One row per key, the least by ``order``; all rows without a key.  Aggregation, not a window: it combines before the shuffle."""
-    cols = rows.columns
-    keyed = rows.withColumn("__key", key)
-    best = (
-        keyed.where("__key is not null")
-        .groupBy("__key")
-        .agg(F.min_by(F.struct(*cols), F.struct(F.col(order), F.xxhash64(*_hashable(rows)))).alias("r"))
-        .select("r.*")
-    )
-    return best.unionByName(keyed.where("__key is null").select(*cols))
+    """One row per key, the least by ``order``; all rows without a key."""
+    p = _packed(rows, key, order)
+    return _least(p.where("key is not null")).select("row.*").unionByName(p.where("key is null").select("row.*"))
 
 
 def _hashable(df: DataFrame) -> list[Column]:
     """Columns as something xxhash64 takes; maps and variants as JSON."""
-    return [F.to_json(c) if t.startswith(("map", "variant")) else F.col(c) for c, t in ((x, df.schema[x].dataType.simpleString()) for x in df.columns)]
+    return [F.to_json(F.col(f"`{c}`")) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in ((x, df.schema[x].dataType.simpleString()) for x in df.columns)]
 
 
 @dataclass
@@ -59,9 +64,9 @@ class MergeReport:
 
 
 class DeliveryStore:
-    """Winners in partitions of ``home`` (an integer column of the rows, such as the day or a range of batches)."""
+    """Winners in partitions of ``home``: a function that makes an integer (the day, a range of batches) of a row, given ``col(name)``."""
 
-    def __init__(self, spark: SparkSession, root: str, key: Column, order: str, home: Column):
+    def __init__(self, spark: SparkSession, root: str, key: Column, order: str, home: Callable[[Callable[[str], Column]], Column]):
         self.spark, self.root, self.key, self.order, self.home = spark, root.rstrip("/"), key, order, home
         self.fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -87,69 +92,60 @@ class DeliveryStore:
             raise RuntimeError(f"version {m['version']} was published by another writer")
 
     # reading ---------------------------------------------------------------------------------------------
-    def _read(self, m: dict, parts: list[int] | None = None) -> DataFrame | None:
-        dirs = [d for p, ds in m["parts"].items() if parts is None or int(p) in parts for d in ds]
-        return self.spark.read.parquet(*dirs) if dirs else None
+    def _load(self, m: dict, dirs: list[str]) -> DataFrame:
+        from pyspark.sql import types as T
 
-    def winners(self) -> DataFrame:
-        """All rows kept, without the store's own columns."""
-        m = self._manifest()
-        dirs = [d for ds in m["parts"].values() for d in ds] + m["loose"]
-        return self.spark.read.parquet(*dirs).drop(*RESERVED)
+        return self.spark.read.schema(T.StructType.fromJson(m["schema"])).parquet(*dirs)
 
-    def index(self) -> DataFrame | None:
+    def winners(self) -> DataFrame:
+        """All rows kept."""
         m = self._manifest()
-        return self.spark.read.parquet(*m["index"]) if m["index"] else None
+        return self._load(m, [d for ds in m["parts"].values() for d in ds] + m["loose"]).select("row.*")
 
     # writing ---------------------------------------------------------------------------------------------
-    def _reduce(self, rows: DataFrame, cols: list[str]) -> DataFrame:
-        return rows.groupBy("__key").agg(F.min_by(F.struct(*cols), F.struct("__order", "__tie")).alias("r")).select("r.*")
-
     def merge(self, batch: DataFrame) -> MergeReport:
         m = self._manifest()
         v = m["version"] + 1
         base = f"{self.root}/v{v:09d}"
-        rows = batch.withColumns({"__key": self.key, "__order": F.col(self.order), "__home": self.home.cast("int"), "__tie": F.xxhash64(*_hashable(batch))})
-        cols = rows.columns
+        rows = _packed(batch, self.key, self.order).withColumn("home", F.coalesce(self.home_of("row"), F.lit(-1)))
+        m["schema"] = m.get("schema") or rows.schema.jsonValue()
         # Rows without an identifier are no copies of anything: they go straight to the store.
-        rows.where("__key is null").write.parquet(f"{base}/loose")
-        incoming_path = f"{base}/incoming"
-        self._reduce(rows.where("__key is not null"), cols).write.parquet(incoming_path)
-        incoming = self.spark.read.schema(rows.schema).parquet(incoming_path)
+        rows.where("key is null").write.parquet(f"{base}/loose")
+        _least(rows.where("key is not null"), "home").select(*rows.columns).write.parquet(f"{base}/incoming")
+        incoming = self._load(m, [f"{base}/incoming"])
 
         affected: list[int] = []
         if m["index"]:
-            index = self.spark.read.parquet(*m["index"])
+            index = self.spark.read.schema(INDEX).parquet(*m["index"])
             # Partition numbers only: at most one row per historical partition reaches the driver.
-            hit = index.join(incoming.select("__key"), "__key", "left_semi").select("__part").distinct()
-            affected = sorted(r[0] for r in hit.collect())
-        old = self._read(m, affected)
-        union = incoming if old is None else incoming.unionByName(old.select(*cols))
-        new = self._reduce(union, cols) if old is not None else union
+            affected = sorted(r[0] for r in index.join(incoming.select("key"), "key", "left_semi").select("part").distinct().collect())
+        new = incoming
+        if dirs := [d for p, ds in m["parts"].items() if int(p) in affected for d in ds]:
+            new = _least(incoming.unionByName(self._load(m, dirs)), "home").select(*rows.columns)
         # A winner lives in the partition of its own row, so a key may move when an older delivery arrives late.
-        new.withColumn("__part", F.coalesce("__home", F.lit(-1))).write.partitionBy("__part").parquet(f"{base}/rows")
+        new.withColumn("part", F.col("home")).write.partitionBy("part").parquet(f"{base}/rows")
         written = self._list_parts(f"{base}/rows")
-        parts = {int(p): list(d) for p, d in m["parts"].items()}
-        for p in affected:
-            parts[p] = []
+        parts = {int(p): list(d) for p, d in m["parts"].items() if int(p) not in affected}
         for p in written:
-            parts.setdefault(p, []).append(f"{base}/rows/__part={p}")
-        parts = {p: d for p, d in parts.items() if d}
-
-        # The index keeps the entries of untouched partitions and takes those of the new rows.
-        # It is two columns wide; a fresh segment is added and overwritten partitions are masked out.
-        fresh = self.spark.read.parquet(f"{base}/rows").select("__key", F.col("__part").cast("int").alias("__part"))
-        kept = self.spark.read.parquet(*m["index"]).where(~F.col("__part").isin(affected)) if m["index"] and affected else None
-        if kept is not None:
-            fresh.unionByName(kept).write.parquet(f"{base}/index")
-            segments = [f"{base}/index"]
-        else:
+            parts.setdefault(p, []).append(f"{base}/rows/part={p}")
+
+        # The index has two columns.  Entries of untouched partitions stay, those of overwritten ones are written anew.
+        fresh = self._load(m, [f"{base}/rows/part={p}" for p in written]).select("key", F.col("home").alias("part")) if written else None
+        segments = list(m["index"])
+        if fresh is not None:
+            if affected:
+                fresh = fresh.unionByName(self.spark.read.schema(INDEX).parquet(*segments).where(~F.col("part").isin(affected)))
+                segments = []
             fresh.write.parquet(f"{base}/index")
-            segments = [*m["index"], f"{base}/index"]
-        self._publish({"version": v, "parts": parts, "index": segments, "loose": [*m["loose"], f"{base}/loose"]})
-        self.fs.delete(self.fs_path(incoming_path), True)
+            segments.append(f"{base}/index")
+        self._publish({"version": v, "parts": parts, "index": segments, "loose": [*m["loose"], f"{base}/loose"], "schema": m["schema"]})
+        self.fs.delete(self.fs_path(f"{base}/incoming"), True)
         return MergeReport(v, affected, written)
 
+    def home_of(self, struct: str) -> Column:
+        """The partition number, computed from the packed row."""
+        return self.home(lambda c: F.col(f"{struct}.`{c}`")).cast("int")
+
     def _list_parts(self, path: str) -> list[int]:
         return sorted(int(s.getPath().getName().split("=")[1]) for s in self.fs.listStatus(self.fs_path(path)) if "=" in s.getPath().getName())
 
@@ -176,7 +172,7 @@ def replay(rows: DataFrame, root: str, key: Column, order: str, batch: str, per_
     ``per_part`` batches share one historical partition, so their number follows the batches, not the rows.
     """
     spark = rows.sparkSession
-    store = DeliveryStore(spark, root, key, order, F.floor(F.col(batch) / per_part))
+    store = DeliveryStore(spark, root, key, order, lambda col: F.floor(col(batch) / per_part))
     lo, hi = rows.agg(F.min(batch), F.max(batch)).first()
     if lo is None:
         lo = hi = 0
