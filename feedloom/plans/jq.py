@@ -292,6 +292,8 @@ class _Parser:
             if v == "def":
                 self.i -= 1
                 return self.pipe()
+            if v in ("null", "true", "false"):
+                return ("lit", {"true": True, "false": False}.get(v))
             if v not in _KEYWORDS:
                 args = []
                 if self.take("("):
@@ -1004,9 +1006,6 @@ _fn("rtrim")(lambda v: _need(v, "string", "rtrim").rstrip())
 _fn("now")(lambda v: __import__("time").time())
 _fn("infinite")(lambda v: math.inf)
 _fn("nan")(lambda v: math.nan)
-_fn("null")(lambda v: None)
-_fn("true")(lambda v: True)
-_fn("false")(lambda v: False)
 _fn("env")(lambda v: {})
 _fn("pow", 2)(lambda v, a, b: a**b)
 _fn("utf8bytelength")(lambda v: len(_need(v, "string", "utf8bytelength").encode()))
@@ -1337,9 +1336,10 @@ def _json(node) -> Column:
     if node == ("id",):
         return F.col("__item")
     if node[0] == "object":
-        if not all(k[0] == "lit" and isinstance(k[1], str) for k, _ in node[1]) or len({k[1] for k, _ in node[1]}) < len(node[1]):
+        keys = [k[1] if k[0] == "lit" else "".join(k[2]) if k[0] == "fmtstr" and k[1] is None and all(isinstance(p, str) for p in k[2]) else None for k, _ in node[1]]
+        if None in keys or len(set(keys)) < len(keys):
             raise NotColumns
-        members = sorted(((k[1], _json(v)) for k, v in node[1]), key=lambda kv: kv[0])
+        members = sorted(((k, _json(v)) for k, (_, v) in zip(keys, node[1])), key=lambda kv: kv[0])
         parts: list[Column] = [F.lit("{")]
         for n, (k, v) in enumerate(members):
             parts += [F.lit(("," if n else "") + json.dumps(k) + ":"), v]
