@@ -1,8 +1,8 @@
 """Documents to items, and what is decided over the pages and items of a feed.
 
 A document row is ``feed_idx, page, body, source_url, content_type`` (and ``status``); the order of items is
-``(feed_idx, page, pos)``.  Operators never sort; only sinks do.  Windows partition by ``feed_idx`` (or by it
-and more), so one exchange on ``feed_idx`` serves all of them.
+``(feed_idx, page, pos)``.  Operators never sort; only sinks do.  Identity is settled by aggregations that combine
+before the shuffle; windows run over the pages of one feed, whose number is limited.
 """
 
 from __future__ import annotations
@@ -125,9 +125,12 @@ def first_link(found: DataFrame, *keys: str) -> DataFrame:
 
 # Over items ---------------------------------------------------------------------------------------------------------
 def keep_first(rows: DataFrame) -> DataFrame:
-    """The first occurrence of each id of a feed in feed order, also within a page."""
-    w = Window.partitionBy("feed_idx", "id").orderBy("page", "pos")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first occurrence of each id of a feed in feed order, also within a page.
+
+    An aggregation that combines before the shuffle, so an id with a third of all rows never gathers; null is an id like any other.
+    """
+    best = rows.select("feed_idx", "id", F.struct("page", "pos").alias("__at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    return best.groupBy("feed_idx", "id").agg(F.min_by("__row", "__at").alias("__row")).select("__row.*")
 
 
 def in_period(rows: DataFrame, since: dt.datetime | None = None, until: dt.datetime | None = None, prefer_updated: bool = False) -> DataFrame:
@@ -137,12 +140,13 @@ def in_period(rows: DataFrame, since: dt.datetime | None = None, until: dt.datet
     return rows.where(dates.within(dates.effective(F.col("ts_published"), F.col("ts_modified"), prefer_updated), since, until))
 
 
-def order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False) -> DataFrame:
+def order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
     """``feed_idx, stop_page``: the first page after which dates in descending order have passed ``since``.
 
     Two folds over all items, duplicates too: by the published date first and by the modified date first.  A
     fold is done once it has ORDER_SAMPLES dates, never rose, and its last date is before ``since``; it is looked at at the
     end of a page.  The second fold counts in the default mode only while no item was published after it was modified.
+    Pages beyond the limit are never read, so the rows of a feed that meet in one window are bounded by its pages.
     """
     seen = Window.partitionBy("feed_idx").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
     tail = Window.partitionBy("feed_idx", "page").orderBy(F.desc("pos"))
@@ -151,7 +155,7 @@ def order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False
         return F.last(d, ignorenulls=True).over(Window.partitionBy("feed_idx").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, -1))
 
     a, b = F.coalesce("ts_published", "ts_modified"), F.coalesce("ts_modified", "ts_published")
-    x = rows.select("feed_idx", "page", "pos", a.alias("a"), b.alias("b"), F.coalesce(F.col("ts_published") > F.col("ts_modified"), F.lit(False)).alias("late"))
+    x = rows.where(F.col("page") <= max_pages).select("feed_idx", "page", "pos", a.alias("a"), b.alias("b"), F.coalesce(F.col("ts_published") > F.col("ts_modified"), F.lit(False)).alias("late"))
     x = x.withColumns({"pa": before(F.col("a")), "pb": before(F.col("b"))})
     done = {}
     for c in ("a", "b"):
@@ -169,8 +173,9 @@ def cut_after(rows: DataFrame, stop: DataFrame, max_pages: int = MAX_PAGES) -> D
 
 def new_per_page(rows: DataFrame) -> DataFrame:
     """``feed_idx, page, new_items``: ids that no earlier item of the feed had."""
-    w = Window.partitionBy("feed_idx", "id").orderBy("page", "pos")
-    return rows.withColumn("__first", F.row_number().over(w) == 1).groupBy("feed_idx", "page").agg(F.count_if("__first").alias("new_items"))
+    first = rows.groupBy("feed_idx", "id").agg(F.min("page").alias("page")).groupBy("feed_idx", "page").agg(F.count("*").alias("new_items"))
+    pages = rows.select("feed_idx", "page").distinct()
+    return pages.join(first, ["feed_idx", "page"], "left").select("feed_idx", "page", F.coalesce("new_items", F.lit(0)).alias("new_items"))
 
 
 def guessed_pages(rows: DataFrame, missing: DataFrame | None = None) -> DataFrame:
@@ -205,9 +210,9 @@ def follow(pages: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES) -> D
 
 
 def before_first_error(rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """Items of feeds before the first one, in input order, that has an error.  One number is joined, no row is moved."""
-    bad = failed.agg(F.min("feed_idx").alias("__bad"))
-    return rows.join(F.broadcast(bad), F.col("__bad").isNull() | (F.col("feed_idx") < F.col("__bad"))).drop("__bad")
+    """Items of feeds before the first one, in input order, that has an error.  One number reaches the driver and is pushed down."""
+    bad = failed.agg(F.min("feed_idx")).first()[0]
+    return rows if bad is None else rows.where(F.col("feed_idx") < bad)
 
 
 def as_output(rows: DataFrame, with_feed: bool = False) -> DataFrame:

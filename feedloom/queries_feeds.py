@@ -207,7 +207,7 @@ def _stop_sql(updated: bool) -> str:
         return f"""bool_and({c} is null or p{c} is null or {c} <= p{c}) over w and count({c}) over w >= 5 and coalesce(last_value({c} ignore nulls) over w < timestamp '2024-01-25', false)"""
 
     stop = "db" if updated else "da or (bound and db)"
-    return f"""{_EV}, x as (select *, {_P} as a, {_M} as b from j),
+    return f"""{_EV}, x as (select *, {_P} as a, {_M} as b from j where page <= 10),
 y as (select *, lag(a ignore nulls) over o as pa, lag(b ignore nulls) over o as pb from x window o as (partition by feed_idx order by page, pos)),
 z as (select *, {fold("a")} as da, {fold("b")} as db, bool_and(not coalesce(tp > tm, false)) over w as bound, row_number() over (partition by feed_idx, page order by pos desc) = 1 as fin
   from y window w as (partition by feed_idx order by page, pos rows unbounded preceding))

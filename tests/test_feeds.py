@@ -138,13 +138,14 @@ def test_period(spark):
         feeds.in_period(rows, b, a)
 
 
-def test_one_exchange_serves_identity_and_order(spark):
-    rows = items(spark, [(1, 0, NEW, None)]).repartition(4, "feed_idx")
-    from pyspark.sql import functions as F
-
-    x = feeds.keep_first(rows).where(F.col("page") < 9)
-    plan = x._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_first_occurrences_combine_before_the_shuffle(spark):
+    rows = items(spark, [(2, 0, NEW, None), (1, 5, NEW, None), (1, 2, OLD, None)]).selectExpr("feed_idx", "page", "pos", "'same' as id", "ts_published", "ts_modified")
+    got = feeds.keep_first(rows)
+    assert [(r.page, r.pos) for r in got.collect()] == [(1, 2)] and got.columns == rows.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
+    assert {(r.page, r.new_items) for r in feeds.new_per_page(rows).collect()} == {(1, 1), (2, 0)}
+    assert feeds.before_first_error(rows, rows.limit(0)).count() == 3 and feeds.before_first_error(rows, rows).count() == 0
 
 
 def test_operator_on_odd_rows(spark):
