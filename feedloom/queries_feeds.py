@@ -342,6 +342,19 @@ def format_sniff(spark, d):
     return table(spark, d, "feed_pages").where("body is not null").select("page_row", is_json("body").alias("json"), is_html("body").alias("html"))
 
 
+@query("sql_functions", f"select page_url, url, upper(title) as title from ({_FOUND})")
+def sql_functions(spark, d):
+    """Discovery and a program per row, from SQL."""
+    from feedloom.plans import sql
+
+    sql.register(spark)
+    corpus.html_pages(table(spark, d, "links")).createOrReplaceTempView("feedloom_pages")
+    return spark.sql("""
+        select p.source_url as page_url, canonical_url(f.url) as url, from_json(concat('[', j.value, ']'), 'array<string>')[0] as title
+        from feedloom_pages p, lateral feed_links(p.body, p.source_url, p.content_type) f, lateral jq(to_json(named_struct('t', upper(f.title))), '.t') j
+        where looks_like_html(p.body, p.content_type)""")
+
+
 # Errors -----------------------------------------------------------------------------------------------------------------
 def _broken(spark, d) -> DataFrame:
     p = corpus.json_pages(corpus.entries(spark, d))

@@ -202,3 +202,13 @@ def test_streams(spark, tmp_path):
     assert sorted(r.item_row for r in got.collect()) == [0, 1, 2, 3]
     again = streams.deliveries(spark, str(tmp_path), root, redelivery.entry_key(), "item_row", lambda col: col("batch_id"), "item_row", "feed_idx", "batch_id", "id", "url")
     assert sorted(r.item_row for r in again.collect()) == [0, 1, 2, 3]
+
+
+def test_sql_functions(spark):
+    from feedloom.plans import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, b'<html><link rel=feed href="/a">', "https://e.example/"), (2, None, None), (3, b"<rss>", "https://e.example/")], "k int, body binary, u string").createOrReplaceTempView("t")
+    assert [tuple(r) for r in spark.sql("select k, f.url from t, lateral feed_links(body, u, null) f").collect()] == [(1, "https://e.example/a")]
+    assert [r.e for r in spark.sql("select feed_parse(body, u).error as e from t order by k").collect()] == ["NOT_FEED", "INVALID_URL", "NOT_FEED"]
+    assert [tuple(r) for r in spark.sql("""select j.* from values ('{"a":[1,2]}'), (null) v(x), lateral jq(x, '.a[]') j""").collect()] == [(0, "1"), (1, "2")]
