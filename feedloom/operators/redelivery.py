@@ -8,7 +8,7 @@ partition of every stored key.  A batch is merged in four steps:
 2. the index is joined with the keys of the batch; the partitions that hold one of them are the affected ones,
 3. only the affected partitions are read, united with the reduced batch and reduced again,
 4. the new contents of exactly those partitions, and of partitions that are new, are written to fresh
-   folders, and one manifest is published by an atomic rename.  Readers follow the newest manifest, so they see the
+   folders, and one manifest is published by a rename (on a store without atomic renames, give the manifests a folder that has them).  Readers follow the newest manifest, so they see the
    state before or after a merge and nothing between; a merge that died leaves only unreferenced folders.
 
 Defined results: rows whose key is null (no identifier) are never copies and are all kept; the least of the order
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX = "key string, part int"
+INDEX = "key string, home int"
 
 
 def entry_key(scope: str = "feed_idx", id_col: str = "id", url_col: str = "url") -> Column:
@@ -76,7 +76,7 @@ class DeliveryStore:
         """The newest published state."""
         p = self.fs_path(f"{self.root}/manifest")
         if not self.fs.exists(p):
-            return {"version": -1, "parts": {}, "index": [], "loose": []}
+            return {"version": -1, "parts": {}, "index": {}, "loose": []}
         last = max(s.getPath().getName() for s in self.fs.listStatus(p))
         row = self.spark.read.text(f"{self.root}/manifest/{last}", wholetext=True).first()
         return json.loads(row[0])
@@ -116,29 +116,26 @@ class DeliveryStore:
 
         affected: list[int] = []
         if m["index"]:
-            index = self.spark.read.schema(INDEX).parquet(*m["index"])
+            index = self.spark.read.schema(INDEX).parquet(*(d for ds in m["index"].values() for d in ds))
             # Partition numbers only: at most one row per historical partition reaches the driver.
-            affected = sorted(r[0] for r in index.join(incoming.select("key"), "key", "left_semi").select("part").distinct().collect())
+            affected = sorted(r[0] for r in index.join(incoming.select("key"), "key", "left_semi").select("home").distinct().collect())
         new = incoming
         if dirs := [d for p, ds in m["parts"].items() if int(p) in affected for d in ds]:
             new = _least(incoming.unionByName(self._load(m, dirs)), "home").select(*rows.columns)
         # A winner lives in the partition of its own row, so a key may move when an older delivery arrives late.
         new.withColumn("part", F.col("home")).write.partitionBy("part").parquet(f"{base}/rows")
         written = self._list_parts(f"{base}/rows")
-        parts = {int(p): list(d) for p, d in m["parts"].items() if int(p) not in affected}
-        for p in written:
-            parts.setdefault(p, []).append(f"{base}/rows/part={p}")
-
-        # The index has two columns.  Entries of untouched partitions stay, those of overwritten ones are written anew.
-        fresh = self._load(m, [f"{base}/rows/part={p}" for p in written]).select("key", F.col("home").alias("part")) if written else None
-        segments = list(m["index"])
-        if fresh is not None:
-            if affected:
-                fresh = fresh.unionByName(self.spark.read.schema(INDEX).parquet(*segments).where(~F.col("part").isin(affected)))
-                segments = []
-            fresh.write.parquet(f"{base}/index")
-            segments.append(f"{base}/index")
-        self._publish({"version": v, "parts": parts, "index": segments, "loose": [*m["loose"], f"{base}/loose"], "schema": m["schema"]})
+        if written:
+            # The index is cut like the rows: what is written anew replaces the segments of its partitions and no others.
+            fresh = self._load(m, [f"{base}/rows/part={p}" for p in written])
+            fresh.select("key", "home", F.col("home").alias("part")).write.partitionBy("part").parquet(f"{base}/index")
+        state = {}
+        for kind, folder in (("parts", "rows"), ("index", "index")):
+            kept = {p: list(d) for p, d in m[kind].items() if int(p) not in affected}
+            for p in written:
+                kept.setdefault(str(p), []).append(f"{base}/{folder}/part={p}")
+            state[kind] = kept
+        self._publish({"version": v, **state, "loose": [*m["loose"], f"{base}/loose"], "schema": m["schema"]})
         self.fs.delete(self.fs_path(f"{base}/incoming"), True)
         return MergeReport(v, affected, written)
 
@@ -152,18 +149,13 @@ class DeliveryStore:
     def vacuum(self) -> None:
         """Delete what no reader of the newest manifest needs."""
         m = self._manifest()
-        live = {d for ds in m["parts"].values() for d in ds} | set(m["index"]) | set(m["loose"])
+        live = {d for kind in ("parts", "index") for ds in m[kind].values() for d in ds} | set(m["loose"])
         for v in range(m["version"]):
-            root = self.fs_path(f"{self.root}/v{v:09d}")
-            if self.fs.exists(root):
-                for kind in self.fs.listStatus(root):
-                    p = kind.getPath()
-                    if p.getName() == "rows":
-                        for part in self.fs.listStatus(p):
-                            if f"{self.root}/v{v:09d}/rows/{part.getPath().getName()}" not in live:
-                                self.fs.delete(part.getPath(), True)
-                    elif f"{self.root}/v{v:09d}/{p.getName()}" not in live:
-                        self.fs.delete(p, True)
+            for folder in ("rows", "index"):
+                root = f"{self.root}/v{v:09d}/{folder}"
+                for p in self._list_parts(root) if self.fs.exists(self.fs_path(root)) else ():
+                    if f"{root}/part={p}" not in live:
+                        self.fs.delete(self.fs_path(f"{root}/part={p}"), True)
 
 
 def replay(rows: DataFrame, root: str, key: Column, order: str, batch: str, per_part: int = 16, merges: int = 2) -> DeliveryStore:
