@@ -140,30 +140,43 @@ def in_period(rows: DataFrame, since: dt.datetime | None = None, until: dt.datet
     return rows.where(dates.within(dates.effective(F.col("ts_published"), F.col("ts_modified"), prefer_updated), since, until))
 
 
-def order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
-    """``feed_idx, stop_page``: the first page after which dates in descending order have passed ``since``.
+def with_order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Rows up to the page limit with ``stop_page``: the first page after which dates in descending order have passed ``since``, or null.
 
     Two folds over all items, duplicates too: by the published date first and by the modified date first.  A
     fold is done once it has ORDER_SAMPLES dates, never rose, and its last date is before ``since``; it is looked at at the
     end of a page.  The second fold counts in the default mode only while no item was published after it was modified.
     Pages beyond the limit are never read, so the rows of a feed that meet in one window are bounded by its pages.
+    One exchange on ``feed_idx`` serves all windows and a later aggregation by feed.
     """
-    seen = Window.partitionBy("feed_idx").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy("feed_idx", "page").orderBy(F.desc("pos"))
-
-    def before(d: Column) -> Column:
-        return F.last(d, ignorenulls=True).over(Window.partitionBy("feed_idx").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, -1))
-
-    a, b = F.coalesce("ts_published", "ts_modified"), F.coalesce("ts_modified", "ts_published")
-    x = rows.where(F.col("page") <= max_pages).select("feed_idx", "page", "pos", a.alias("a"), b.alias("b"), F.coalesce(F.col("ts_published") > F.col("ts_modified"), F.lit(False)).alias("late"))
-    x = x.withColumns({"pa": before(F.col("a")), "pb": before(F.col("b"))})
+    feed = Window.partitionBy("feed_idx")
+    order = feed.orderBy("page", "pos")
+    seen, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.columns
+    x = rows.where(F.col("page") <= max_pages).withColumns(
+        {"__a": F.coalesce("ts_published", "ts_modified"), "__b": F.coalesce("ts_modified", "ts_published"), "__late": F.coalesce(F.col("ts_published") > F.col("ts_modified"), F.lit(False))}
+    )
+    x = x.withColumns({f"__p{c}": F.last(f"__{c}", ignorenulls=True).over(earlier) for c in "ab"})
     done = {}
     for c in ("a", "b"):
-        falls = F.bool_and(F.col(c).isNull() | F.col(f"p{c}").isNull() | (F.col(c) <= F.col(f"p{c}"))).over(seen)
-        done[f"done_{c}"] = falls & (F.count(c).over(seen) >= ORDER_SAMPLES) & (F.last(c, ignorenulls=True).over(seen) < F.lit(since))
-    x = x.withColumns(done | {"bound": F.bool_and(~F.col("late")).over(seen), "end": F.row_number().over(tail) == 1})
-    stop = F.col("done_b") if prefer_updated else F.col("done_a") | (F.col("bound") & F.col("done_b"))
-    return x.where(F.col("end") & F.coalesce(stop, F.lit(False))).groupBy("feed_idx").agg(F.min("page").alias("stop_page"))
+        d, p = F.col(f"__{c}"), F.col(f"__p{c}")
+        falls = F.bool_and(d.isNull() | p.isNull() | (d <= p)).over(seen)
+        done[f"__done_{c}"] = falls & (F.count(d).over(seen) >= ORDER_SAMPLES) & (F.last(d, ignorenulls=True).over(seen) < F.lit(since))
+    next_page = F.lead("page").over(order)
+    x = x.withColumns(done | {"__bound": F.bool_and(~F.col("__late")).over(seen), "__end": next_page.isNull() | (next_page != F.col("page"))})
+    stop = F.col("__done_b") if prefer_updated else F.col("__done_a") | (F.col("__bound") & F.col("__done_b"))
+    return x.withColumn("stop_page", F.min(F.when(F.col("__end") & stop, F.col("page"))).over(feed)).select(*[F.col(f"`{c}`") for c in own], "stop_page")
+
+
+def order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``feed_idx, stop_page`` of the feeds that stop early."""
+    slim = rows.select("feed_idx", "page", "pos", "ts_published", "ts_modified")
+    return with_order_stop(slim, since, prefer_updated, max_pages).where("stop_page is not null").groupBy("feed_idx").agg(F.min("stop_page").alias("stop_page"))
+
+
+def before_order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
+    """Rows up to each feed's stop page, in one pass over the rows."""
+    return with_order_stop(rows, since, prefer_updated, max_pages).where(F.col("page") <= F.coalesce("stop_page", F.lit(max_pages))).drop("stop_page")
 
 
 def cut_after(rows: DataFrame, stop: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:

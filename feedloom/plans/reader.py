@@ -75,7 +75,7 @@ class FeedJob:
         """Items of feeds: pages up to the limit and the early stop, first occurrences, then the period."""
         rows = feeds.items(feeds.parse(docs.where(F.col("page") <= self.max_pages)))
         if self.since:
-            rows = feeds.cut_after(rows, feeds.order_stop(rows, self.since, self.prefer_updated, self.max_pages), self.max_pages)
+            rows = feeds.before_order_stop(rows, self.since, self.prefer_updated, self.max_pages)
         return feeds.in_period(feeds.keep_first(rows), self.since, self.until, self.prefer_updated)
 
     def lines(self, rows: DataFrame) -> DataFrame:

@@ -229,8 +229,7 @@ def early_stop_modified(spark, d):
 
 @query("early_stop_cut", f"select j.feed_idx, page, pos from ({_EV} select * from j) j left join ({_stop_sql(False)}) s using (feed_idx) where page <= least(coalesce(stop_page, 10), 10)")
 def early_stop_cut(spark, d):
-    rows = _json(spark, d)
-    return feeds.cut_after(rows, feeds.order_stop(rows, EARLY)).select("feed_idx", "page", "pos")
+    return feeds.before_order_stop(_json(spark, d), EARLY).select("feed_idx", "page", "pos")
 
 
 @query("wordpress_detect", "select feed_idx, regexp_matches(trim(generator), '^[hH][tT][tT][pP][sS]?://[wW][oO][rR][dD][pP][rR][eE][sS][sS]\\.[oO][rR][gG](:[0-9]*)?([/?#].*)?$') as wordpress from feeds where generator is not null")

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of intermediate tables: ``spark.checkpoint.dir``, set here only where nobody has set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="feedloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

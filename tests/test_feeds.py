@@ -119,6 +119,14 @@ def test_order_stop(spark, pages, updated, stop):
     assert (got[0].stop_page if got else None) == stop
 
 
+def test_a_job_parses_once_and_exchanges_once(spark):
+    from feedloom.plans.reader import FeedJob
+
+    docs = spark.createDataFrame([(0, 1, bytearray(js(id="1").encode()), SRC, "")], "feed_idx int, page int, body binary, source_url string, content_type string")
+    plan = FeedJob(since="2024-01-01").from_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow ") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_order_stop_by_modified(spark):
     since = dt.datetime(2024, 3, 1)
     fine = [(1, k, (1, 1 + k), (2, 9 - k)) for k in range(5)]  # published rises, modified falls, published before modified
