@@ -1,8 +1,9 @@
 """MinHash banding over word shingles: five words, similarity 0.8 or more.
 
 Signatures are computed for a whole Arrow batch at once.  Colliding texts are linked to one representative of
-their bucket (never to each other, so a bucket with a third of all rows gives as many links as rows), each link is
-verified by exact Jaccard similarity, and classes are the connected components of what remains.
+their bucket, so a bucket with a third of all rows gives as many links as rows; each link is verified by exact Jaccard
+similarity.  Members of a bucket that holds texts unlike its representative are compared with each other as well, in
+blocks.  Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -95,27 +96,99 @@ def _verify(batches: Iterator) -> Iterator:
 
     for b in batches:
         ok = [x is not None and y is not None and jaccard(x, y) >= SIMILARITY for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())]
-        t = b.filter(pa.array(ok, pa.bool_()))
-        yield t.select(["scope", "a", "b"])
+        yield b.select(["scope", "a", "b"]).append_column("ok", pa.array(ok, pa.bool_()))
 
 
-def links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """``scope, a, b``: verified links of bucket members (a) to their bucket's least member (b).
+#: Texts and characters of a block; the blocks of a bucket meet two at a time, so a task holds at most twice as much.
+BLOCK, BLOCK_CHARS = 4096, 1 << 22
 
-    ``buckets``: ``scope, key bigint, band int, bucket bigint``; ``texts``: ``scope, key, text``, one row per key.
+
+def block_links(texts: list[str], near: list[bool], part: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places that connect just what all pairs of SIMILARITY connect.
+
+    ``near``: texts known to be connected with each other.  Texts of equal ``part`` meet only if all parts are equal.  Prefix
+    filter, rarest shingles first: of two similar texts, the first shingles of the shorter and of the longer have one in common.
     """
-    rep = buckets.groupBy("scope", "band", "bucket").agg(F.min("key").alias("b"), F.max("key").alias("top")).where("b <> top").drop("top")
-    cand = (
-        buckets.join(rep, ["scope", "band", "bucket"])
-        .where("key <> b")
-        .select("scope", F.col("key").alias("a"), "b")
-        .distinct()
+    hashes, starts = shingle_hashes([t.split() for t in texts])
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    sets = [np.unique(x) for x in np.split(rank[inverse], starts[1:])]
+    root = list(range(len(texts)))
+    known = [k for k, x in enumerate(near) if x]
+    for k in known:
+        root[k] = known[0]
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    across, out = len(set(part)) > 1, []
+    index: dict[int, dict[int, list[int]]] = {}
+    for x in sorted(range(len(texts)), key=lambda k: len(sets[k])):
+        n, tried = len(sets[x]), set()
+        firsts = sets[x].tolist()
+        for t in firsts[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]:
+            for r, ys in index.get(t, {}).items():
+                for y in ys:
+                    if find(r) == find(x):
+                        break
+                    if y not in tried and len(sets[y]) >= SIMILARITY * n - 1e-9 and not (across and part[x] == part[y]):
+                        tried.add(y)
+                        if jaccard(texts[x], texts[y]) >= SIMILARITY:
+                            out.append((x, y))
+                            root[find(x)] = find(y)
+        for t in firsts[: n - int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9)) + 1]:
+            index.setdefault(t, {}).setdefault(find(x), []).append(x)
+    return out
+
+
+def _settle(group):
+    import pyarrow as pa
+
+    keys = group.column("key").to_pylist()
+    got = block_links(group.column("text").to_pylist(), group.column("near").to_pylist(), group.column("part").to_pylist())
+    scope = group.column("scope")[0].as_py()
+    return pa.Table.from_arrays(
+        [pa.array([scope] * len(got), group.schema.field("scope").type), pa.array([keys[x] for x, _ in got], pa.int64()), pa.array([keys[y] for _, y in got], pa.int64())],
+        names=["scope", "a", "b"],
     )
+
+
+def links(buckets: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``scope, a, b``: verified links that connect all members of a bucket that similar pairs connect.
+
+    Members are compared with their bucket's least member first.  A bucket where all are similar to it is settled, as is
+    a bucket of two; the members of any other are compared with each other, in blocks of at most ``block`` texts.
+
+    ``buckets``: ``scope, key bigint, band int, bucket bigint``; ``texts``: ``scope, key, text``, one row per key.
+    """
+    at = ["scope", "band", "bucket"]
+    kind = buckets.schema["scope"].dataType.simpleString()
+    rep = buckets.groupBy(*at).agg(F.min("key").alias("b"), F.max("key").alias("top"), F.count("*").alias("n")).where("b <> top").drop("top")
+    named = buckets.join(rep, at).where("key <> b")
+    cand = named.select("scope", F.col("key").alias("a"), "b").distinct()
     ta = texts.select("scope", F.col("key").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select("scope", F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = cand.join(ta, ["scope", "a"]).join(tb, ["scope", "b"]).select("scope", "a", "b", "text_a", "text_b")
-    kind = buckets.schema["scope"].dataType.simpleString()
-    return both.mapInArrow(_verify, f"scope {kind}, a bigint, b bigint")
+    tried = materialize(both.mapInArrow(_verify, f"scope {kind}, a bigint, b bigint, ok boolean"), "bucket-tried")
+    direct = tried.where("ok").drop("ok")
+
+    failed = tried.where("not ok").select("scope", F.col("a").alias("key"), "b")
+    unsettled = named.where("n > 2").join(failed, ["scope", "key", "b"], "left_semi").select(*at).distinct()
+    near = direct.select("scope", F.col("a").alias("key"), "b", F.lit(True).alias("near"))
+    rest = named.join(unsettled, at, "left_semi").join(near, ["scope", "key", "b"], "left").select(*at, "key", F.coalesce("near", F.lit(False)).alias("near"))
+    rest = materialize(rest, "bucket-rest")
+    if rest.isEmpty():
+        return direct
+    sizes = rest.join(texts.select("scope", "key", F.char_length("text").alias("chars")), ["scope", "key"]).groupBy(*at)
+    sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    parts = rest.join(sizes, at).withColumn("part", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select(*at, "i", "j", "key", "near", "part")
+    more = parts.join(texts.select("scope", "key", "text"), ["scope", "key"]).groupBy(*at, "i", "j").applyInArrow(_settle, f"scope {kind}, a bigint, b bigint")
+    return direct.unionByName(more)
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:

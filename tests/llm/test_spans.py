@@ -108,3 +108,48 @@ def test_a_common_text_below_the_length_makes_no_pairs(spark):
     assert spans.span_pairs(df).count() == 200 * 199 // 2
     # the noise beside the span is equal by chance for a few characters
     assert all(r.shared_chars in range(210, 225) if r.doc_id % 3 == 0 else r.shared_chars == 0 for r in spans.shares(df).collect())
+
+
+def test_unlike_texts_in_a_bucket_hide_no_pair(spark):
+    """Paragraphs with a common notice collide with unlike ones; the similar pairs among them are found all the same, in one block or many."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    word = lambda: str(rng.randrange(10**6))
+    notice = [f"notice{k}" for k in range(55)]
+    rows = [notice + [word() for _ in range(12)] for _ in range(500)]
+    rows += [[*w[:-6], word(), *w[-5:]] for w in rows[:60]]
+    key = lambda k: k * 7919 % 1009
+    text = {key(k): " ".join(w) for k, w in enumerate(rows)}
+    assert all(minhash.jaccard(text[key(k)], text[key(500 + k)]) >= 0.8 > minhash.jaccard(text[key(k)], text[key(k + 1)]) for k in range(60))
+    bands = minhash.band_keys(rows)
+    want = {frozenset((key(k), key(500 + k))) for k in range(60) if (bands[k] == bands[500 + k]).any()}
+    buckets = spark.createDataFrame([(0, key(k), b, int(v)) for k, r in enumerate(bands) for b, v in enumerate(r)], "scope bigint, key bigint, band int, bucket bigint")
+    texts = spark.createDataFrame([(0, k, t) for k, t in text.items()], "scope bigint, key bigint, text string")
+    for block in (minhash.BLOCK, 100):
+        assert {frozenset((r.a, r.b)) for r in minhash.links(buckets, texts, block).collect()} == want
+    docs = spark.createDataFrame(list(text.items()), "doc_id bigint, text string")
+    classes = spans.method_classes(docs).groupBy("class_id").agg(F.collect_set("doc_id").alias("docs")).collect()
+    assert {frozenset(r.docs) for r in classes} == want
+
+
+def test_block_links_connect_what_all_pairs_connect():
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        w = [str(rng.randrange(30)) for _ in range(rng.choice([3, 5, 9, 30, 31]))]
+        for _ in range(rng.randrange(1, 8)):
+            texts.append(" ".join(w))
+            w = [*w]
+            w[rng.randrange(len(w))] = str(rng.randrange(30))
+
+    def classes(pairs):
+        label = list(range(len(texts)))
+        for _ in texts:
+            for x, y in pairs:
+                label[x] = label[y] = min(label[x], label[y])
+        return label
+
+    pairs = [(x, y) for x in range(len(texts)) for y in range(x) if minhash.jaccard(texts[x], texts[y]) >= 0.8]
+    got = minhash.block_links(texts, [False] * len(texts), [0] * len(texts))
+    assert set(map(frozenset, got)) <= set(map(frozenset, pairs)) and classes(got) == classes(pairs)
