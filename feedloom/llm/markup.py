@@ -238,8 +238,17 @@ def prune(root: Node, gone: set[int]) -> None:
         n.kids = [k for k in n.kids if not (isinstance(k, Node) and k.key in gone)]
 
 
-def to_text(root: Node) -> str:
-    """Clean text: blocks on lines of their own, headings, list items, code and formulas kept."""
+_NO_TAG = re.compile(r"<(?!/?(?:" + "|".join(sorted(ELEMENTS, key=len, reverse=True)) + r")(?=[\s/>])[^<>]*>|!--|!doctype)", re.I)
+_NO_REFERENCE = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)")
+
+
+def plain_tree(value: str) -> Node:
+    """Element tree of a field meant as plain text: ``<`` and ``&`` that begin no tag, comment or reference are text."""
+    return tree(_NO_TAG.sub("&lt;", _NO_REFERENCE.sub("&amp;", value)))
+
+
+def to_text(root: Node, lined: bool = False) -> str:
+    """Clean text: blocks on lines of their own, headings, list items, code and formulas kept.  ``lined``: line ends of the source end lines."""
     lines: list[str] = []
     cur: list[str] = []
 
@@ -258,7 +267,12 @@ def to_text(root: Node) -> str:
         what, n = work.pop()
         if what == "text":
             t = _plain(_html.unescape(n))
-            if "\n" in t and any(x in t for x in ("\n#", "\n- ", "\n*", "```")) or "```" in t:
+            if lined and "```" not in t:
+                for i, p in enumerate(t.split("\n")):
+                    if i:
+                        flush(prefix[-1])
+                    cur.append(p)
+            elif "\n" in t and any(x in t for x in ("\n#", "\n- ", "\n*", "```")) or "```" in t:
                 flush(prefix[-1])
                 lines.extend(x for x in t.split("\n") if x.strip())
             else:
@@ -367,3 +381,17 @@ def method_texts(pages: DataFrame, row_id: str, host, html: str, least: int = LE
     rows = pages.select(row_id, F.coalesce(host, F.lit("")).alias("host"), F.col(html).alias("html"))
     kind = pages.schema[row_id].dataType.simpleString()
     return rows.join(sets, "host", "left").select(row_id, "html", "gone").mapInArrow(partial(_clean, keep=row_id), f"`{row_id}` {kind}, text string, subtrees_removed int")
+
+
+def _plain_texts(batches: Iterator, keep: str) -> Iterator:
+    import pyarrow as pa
+
+    for b in batches:
+        out = [to_text(plain_tree(v), lined=True) if v else v for v in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[keep, "text"])
+
+
+def plain_texts(rows: DataFrame, row_id: str, field: str) -> DataFrame:
+    """``row_id, text``: a field meant as plain text without the markup it holds.  It has no elements of the site, so nothing is counted."""
+    kind = rows.schema[row_id].dataType.simpleString()
+    return rows.select(row_id, field).mapInArrow(partial(_plain_texts, keep=row_id), f"`{row_id}` {kind}, text string")

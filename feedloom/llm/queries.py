@@ -51,6 +51,11 @@ def p6_method(spark: SparkSession, d: str) -> DataFrame:
     return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), "content_html")
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    summary = markup.plain_texts(table(spark, d, "items"), "item_row", "summary").select("item_row", F.lit("summary").alias("field"), "text")
+    return summary.unionByName(p6_method(spark, d).select("item_row", F.lit("content_html").alias("field"), "text"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.found_languages(table(spark, d, "items"), "item_row", (("summary", False), ("content_html", True)))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p6_method": p6_method,
+    "p6_texts": p6_texts,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,

@@ -48,3 +48,22 @@ def test_operator(spark):
     df = spark.createDataFrame([(1, "<p>**a**</p>", "<p>**a**</p>"), (2, None, ""), (3, "x" * 200_000, "$" * 50_000)], "item_row bigint, summary string, content_html string").selectExpr("*", "1 as field", "2 as markup")
     got = {tuple(r) for r in m.found_languages(df, "item_row", (("summary", False), ("content_html", True))).collect()}
     assert got == {(1, "summary", "html"), (1, "summary", "markdown"), (1, "content_html", "markdown")}
+
+
+def test_summaries_come_out_as_clean_text(spark):
+    import __spark_entry__ as entry
+
+    for value, want in [
+        ("<p>One <b>two</b> &amp; [three](https://x.example)</p>", "One two & three"),
+        ("A '''b''' in [[P|label]]\nand \\emph{c} and **d**", "A b in label\nand c and d"),
+        ("if a <b and c, see ?x=1&copy=2 & AT&T", "if a <b and c, see ?x=1&copy=2 & AT&T"),
+        ("x <y> z and 3 < 4", "x <y> z and 3 < 4"),
+        ("# Head\n\n* one\n* two", "# Head\n- one\n- two"),
+    ]:
+        assert m.to_text(m.plain_tree(value), lined=True) == want
+    got = entry.queries()["p6_texts"](spark, "/root/testdata/sf0.001")
+    items = spark.read.parquet("/root/testdata/sf0.001/items.parquet")
+    assert got.count() == got.select("item_row", "field").distinct().count() == 2 * items.count()
+    both = got.where("field = 'summary'").join(items, "item_row")
+    assert both.where("(text is null) <> (summary is null)").count() == 0
+    assert both.where("summary like '%</p>%'").count() > 0 and both.where("text like '%</p>%'").count() == 0
