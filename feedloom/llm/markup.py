@@ -9,7 +9,9 @@ each language: paired emphasis, links, headings, lists, tables, commands, formul
 for nothing; sums of money, identifiers, paths, hash tags and comparisons are no markup.
 
 Defined results: null and empty values contain nothing and convert to null and to an empty text; unclosed elements end with
-the document; element names are taken without case; a page is one row; rows without a host form one host.
+the document; element names are taken without case; deliveries of one entry, and equal contents, are one page; rows without
+a host form one host.  Only blocks that stand for themselves are template: void elements, words inside a block, headings, list
+items and table cells are part of what they stand in, and go with it only.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ ELEMENTS = BLOCK | VOID | RAW | CODE | frozenset(
 )
 #: Pages of a host on which a subtree must recur to be template.
 LEAST_PAGES = 10
+#: Share of the host's pages on which it must recur besides.
+LEAST_SHARE = 0.01
+#: Blocks that are parts of a larger one, and blocks whose children may stand for themselves.
+PARTS = frozenset("dd dt h1 h2 h3 h4 h5 h6 hr html body li td th tr".split())
+HOLDERS = frozenset(["", *"address article aside body div fieldset figure footer form header html main nav section".split()])
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _SPACES = re.compile(r"[ \t\r\n\f]+")
@@ -233,9 +240,36 @@ def hash_subtrees(root: Node) -> list[int]:
     return keys
 
 
-def prune(root: Node, gone: set[int]) -> None:
-    for n in _post(root):
-        n.kids = [k for k in n.kids if not (isinstance(k, Node) and k.key in gone)]
+def standing(root: Node) -> list[tuple[Node, Node]]:
+    """Parent and child for all elements that may be template: blocks, and other elements that fill a line of their own."""
+
+    def edge(k, end: int) -> bool:
+        """Whether what stands beside an element ends its line."""
+        if isinstance(k, Node):
+            return k.tag in BLOCK or k.tag in ("br", "hr")
+        return k.strip() == "" and "\n" in k or k.strip(" \t")[end:][:1] in ("\n", "\r")
+
+    out = []
+    for p in _post(root):
+        for i, n in enumerate(p.kids):
+            if not isinstance(n, Node) or n.tag in VOID or n.tag in PARTS:
+                continue
+            alone = p.tag in HOLDERS and (i == 0 or edge(p.kids[i - 1], -1)) and (i == len(p.kids) - 1 or edge(p.kids[i + 1], 0))
+            if n.tag in BLOCK or alone:
+                out.append((p, n))
+    return out
+
+
+def prune(root: Node, gone: set[int]) -> int:
+    """Take away the standing elements of ``gone``; how many elements went."""
+    dead = {id(n) for _, n in standing(root) if n.key in gone}
+    cut, work = 0, [(root, False)]
+    while work:
+        n, inside = work.pop()
+        cut += inside
+        work.extend((k, inside or id(k) in dead) for k in n.kids if isinstance(k, Node))
+        n.kids = [k for k in n.kids if id(k) not in dead]
+    return cut
 
 
 _NO_TAG = re.compile(r"<(?!/?(?:" + "|".join(sorted(ELEMENTS, key=len, reverse=True)) + r")(?=[\s/>])[^<>]*>|!--|!doctype)", re.I)
@@ -330,19 +364,31 @@ def _subtrees(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
+    signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
     for b in batches:
-        host, key = [], []
-        for h, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = set(hash_subtrees(tree(v)))
+        host, key, page, entry = [], [], [], []
+        for h, v, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            root = tree(v)
+            hash_subtrees(root)
+            own = {root.key, *(n.key for _, n in standing(root))}  # with the page itself, by which pages are counted
             host.extend([h] * len(own))
             key.extend(own)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(np.array(key, np.uint64).view(np.int64))], names=["host", "key"])
+            page.extend([root.key] * len(own))
+            entry.extend([e] * len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), signed(key), signed(page), pa.array(entry, pa.int64())], names=["host", "key", "page", "entry"])
+
 
+def templates(pages: DataFrame, host, html: str, entry, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
+    """``host, key, pages``: subtrees that recur on at least ``least`` pages of a host and the ``share`` of them; ``entry`` tells
+    entries apart.  Pages are counted by entry and by content, and the lesser count holds."""
+    from feedloom.session import materialize
 
-def templates(pages: DataFrame, host, html: str, least: int = LEAST_PAGES) -> DataFrame:
-    """``host, key, pages``: subtrees that recur on at least ``least`` pages of a host; a page counts a subtree once."""
-    slim = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.col(html).alias("html")).where("html <> ''")
-    return slim.mapInArrow(_subtrees, "host string, key bigint").groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    slim = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.col(html).alias("html"), F.xxhash64(entry).alias("entry")).where("html <> ''")
+    found = materialize(slim.mapInArrow(_subtrees, "host string, key bigint, page bigint, entry bigint"), "subtrees")
+    count = F.least(F.count_distinct("page"), F.count_distinct("entry")).alias
+    often = found.groupBy("host", "key").agg(count("pages")).where(F.col("pages") >= least)
+    whole = found.where("key = page").groupBy("host").agg(count("all"))
+    return often.join(whole, "host").where(F.col("pages") >= share * F.col("all")).drop("all")
 
 
 #: Rows of template subtrees up to which a host's set travels with its pages by broadcast.
@@ -362,18 +408,17 @@ def _clean(batches: Iterator, keep: str) -> Iterator:
             root = tree(v)
             hash_subtrees(root)
             dead = {g % 2**64 for g in gone or ()}
-            cut.append(sum(1 for n in _post(root) if n.key in dead and n is not root))
-            if dead:
-                prune(root, dead)
+            cut.append(prune(root, dead) if dead else 0)
             out.append(to_text(root))
         yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(out, pa.string()), pa.array(cut, pa.int32())], names=[keep, "text", "subtrees_removed"])
 
 
-def method_texts(pages: DataFrame, row_id: str, host, html: str, least: int = LEAST_PAGES) -> DataFrame:
-    """``row_id, text, subtrees_removed``: every page without its host's template, as clean text."""
+def method_texts(pages: DataFrame, row_id: str, host, html: str, least: int = LEAST_PAGES, entry=None) -> DataFrame:
+    """``row_id, text, subtrees_removed``: every page without its host's template, as clean text.  ``entry``: what rows of one entry
+    have in common; without it each row is an entry."""
     from feedloom.session import materialize
 
-    hits = materialize(templates(pages, host, html, least).select("host", "key"), "templates")
+    hits = materialize(templates(pages, host, html, F.col(row_id) if entry is None else entry, least).select("host", "key"), "templates")
     # The set of one host follows its templates, not its pages.  Hosts are joined by shuffle once the sets grow past the bound.
     sets = hits.groupBy("host").agg(F.collect_set("key").alias("gone"))
     if hits.count() <= TEMPLATES_BROADCAST:

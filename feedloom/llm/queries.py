@@ -48,7 +48,9 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_method(spark: SparkSession, d: str) -> DataFrame:
-    return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), "content_html")
+    own = lambda c: F.nullif(F.col(c), F.lit(""))
+    entry = F.struct("feed_idx", F.coalesce(own("id"), own("url"), F.concat(F.lit("\n"), F.col("item_row").cast("string"))))
+    return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), "content_html", entry=entry)
 
 
 def p6_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -67,3 +67,17 @@ def test_summaries_come_out_as_clean_text(spark):
     both = got.where("field = 'summary'").join(items, "item_row")
     assert both.where("(text is null) <> (summary is null)").count() == 0
     assert both.where("summary like '%</p>%'").count() > 0 and both.where("text like '%</p>%'").count() == 0
+
+
+def test_ordinary_content_that_recurs_stays(spark):
+    def page(k):
+        return f"<h2>Summary</h2><p>Own {k} is <em>not</em> one<br>but two</p><table><tr><td>0</td><td>{k}</td></tr></table>" + (f"<p>rare {k // 15}</p>" if k < 15 else "") + "<div><b>Share this</b></div>"
+
+    rows = [(k, k, page(k)) for k in range(2000)]
+    rows += [(3000 + k, 2000, "<p>Delivered often</p><div><b>Share this</b></div>") for k in range(40)]
+    rows += [(4000 + k, 4000 + k, "<p>Copied often</p><div><b>Share this</b></div>") for k in range(40)]
+    df = spark.createDataFrame(rows, "item_row bigint, e bigint, content_html string")
+    got = {r.item_row: r.text for r in m.method_texts(df, "item_row", F.lit("h"), "content_html", entry=F.col("e")).collect()}
+    assert got[20] == "## Summary\nOwn 20 is not one\nbut two\n0\n20"
+    assert got[3] == "## Summary\nOwn 3 is not one\nbut two\n0\n3\nrare 0"
+    assert {got[3000 + k] for k in range(40)} == {"Delivered often"} and {got[4000 + k] for k in range(40)} == {"Copied often"}
