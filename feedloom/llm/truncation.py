@@ -34,7 +34,7 @@ _CLOSERS = "\"'”’»“)]}」』）】›*_~`"
 _TOKEN = re.compile(r"\d[\d.,:]*|[ァ-ヺー]+|[^\W\d_ぁ-んァ-ヺー一-鿿々]+(?:[’'][^\W\d_]+)*|[^\w\s]|[ぁ-ん一-鿿々_]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»“)\]*_~`]*\s+|(?<=[。！？])[」』）]*\s*")
 _OMISSION = re.compile(r"(?:…|\.\.\.+|\[(?:…|\.\.\.+)\]|\((?:…|\.\.\.+)\)|&hellip;|&#8230;)\s*(?:</[a-z0-9]+>\s*)*\Z", re.I)
-_BROKEN = re.compile(r"(?:�+|&#?[A-Za-z0-9]{0,9}|\\u[0-9A-Fa-f]{0,3}|\\|%[0-9A-Fa-f]?|<[/!?]?(?:[A-Za-z][^<>]*)?)\Z")
+_BROKEN = re.compile(r"(?:�+|(?<!\\)(?:\\\\)*\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|%[0-9A-Fa-f]{2}%[0-9A-Fa-f]?|(?:https?://\S*|%[0-9A-Fa-f]{2}\S*)%[0-9A-Fa-f]?)\Z")
 _REFERENCE = re.compile(r"&(?:#[0-9xX]?[0-9A-Fa-f]*|[A-Za-z]{2,8})\Z")
 _END_TAGS = re.compile(r"(?:\s*</[A-Za-z][A-Za-z0-9]*\s*>|\s*<(?:br|hr)\s*/?>)+\s*\Z", re.I)
 _TAGS = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
@@ -135,25 +135,48 @@ def learn(value: str, seen: Counter, heading: bool = False) -> None:
             seen[f"E {e[0]}", True] += 1
 
 
-def _open_at_end(value: str) -> tuple[bool, bool]:
-    """Whether a tag is broken off, and whether a quotation is still open."""
+_SIGN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)(?=[\s/>])[^<>]*>|[“«„「『”»」』()\[\]\n]", re.S)
+#: Elements whose end tags HTML lets be left out, and those that have none.
+_NO_END = frozenset("p li dt dd tr td th thead tbody tfoot colgroup option optgroup rp rt html head body area base br col embed hr img input link meta source track wbr".split())
+_SMILEY = re.compile(r"[:;=8]['’]?-?[(\[]\Z")
+
+
+def _open_at_end(value: str) -> tuple[bool, set[str]]:
+    """Whether a tag is broken off, and what is still open: ``quote``, ``bracket``, ``element``.
+
+    One stack over the whole value.  Quotations end with their line, brackets with their line or element; a closing sign without its
+    opening one closes nothing, and a closing one of an outer pair ends the inner ones.
+    """
     stack: list[str] = []
-    for c in value[-4000:] if len(value) > 4000 and "“" not in value[:-4000] else value:
-        if c in "“«„「『":
+    for m in _SIGN.finditer(value):
+        c = m.group()
+        if name := m.group(2):
+            name = "<" + name.lower()
+            if m.group(1):
+                if name in stack:
+                    while stack.pop() != name:
+                        pass
+            elif name[1:] not in _NO_END and not c.endswith("/>"):
+                stack.append(name)
+        elif c in "“«„「『":
             if c == "“" and stack and stack[-1] == "„":
                 stack.pop()
             elif c == "«" and stack and stack[-1] == "»":
                 stack.pop()
             else:
                 stack.append(c)
-        elif c in _PAIRS:
-            want = _PAIRS[c]
-            if want in stack:
-                while stack.pop() != want:
-                    pass
+        elif c in "([":
+            if not _SMILEY.search(value, max(0, m.start() - 3), m.end()):
+                stack.append(c)
+        elif want := _PAIRS.get(c) or {")": "(", "]": "["}.get(c):
+            # Not across the start of an element.
+            inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k] == want or stack[k][0] == "<"), -1)
+            if inner >= 0 and stack[inner] == want:
+                del stack[inner:]
         elif c == "\n":
-            stack.clear()
-    return value.rfind("<") > value.rfind(">") and bool(re.search(r"<[/!A-Za-z][^<>]*\Z", value)), bool(stack)
+            stack = [x for x in stack if x[0] == "<"]
+    left = {"element" if x[0] == "<" else "bracket" if x in "([" else "quote" for x in stack}
+    return value.rfind("<") > value.rfind(">") and bool(re.search(r"<[/!A-Za-z][^<>]*\Z", value)), left
 
 
 def last_is_word(tail: str) -> bool:
@@ -165,10 +188,11 @@ def judge(value: str | None, model: dict[str, tuple[int, int]]) -> str:
     if value is None or not value.strip():
         return "whole"
     v = value.rstrip()
-    if _OMISSION.search(v) or v.endswith("�"):
+    if _OMISSION.search(v) or _BROKEN.search(v):
         return "cut"
-    broken, quoting = _open_at_end(v)
-    if broken or (v.endswith("<") and not v.endswith(" <")):
+    broken, left = _open_at_end(v)
+    quoting = "quote" in left
+    if broken or "element" in left or (v.endswith("<") and not v.endswith(" <")):
         return "cut"
     body = _END_TAGS.sub("", v) if v.endswith(">") else v
     lines = [x for x in _visible(body).split("\n") if x.strip()]
@@ -179,7 +203,7 @@ def judge(value: str | None, model: dict[str, tuple[int, int]]) -> str:
     if not tail:
         return "whole"
     if terminated(tail):
-        if quoting:
+        if quoting or "bracket" in left:
             return "cut"
         if (e := _number_end(tail)) and model.get(f"E {e[0]}", (0, 0))[0] >= 20 and f"e {e[0]} {e[1]}" not in model:
             return "cut"
@@ -198,7 +222,7 @@ def judge(value: str | None, model: dict[str, tuple[int, int]]) -> str:
         return "cut"
     if not (last.isalnum() or last in _CLOSERS or last in "%°€$£№+"):
         return "whole"
-    if tail.count("(") > tail.count(")") + len(re.findall(r"[:;]-?\(", tail)) or tail.count("[") > tail.count("]"):
+    if "bracket" in left:
         return "cut"
     m = re.search(r"(?:https?://\S+|(?:[—–]|--)[  ](?:[A-ZÀ-ÝА-Я][\w’'-]*[  ]?){1,4}|(?:#[\w-]+[  ]*)+)\Z", tail)
     if m and m.start() and tail[: m.start()].rstrip()[-1:] in _TERMINAL:

@@ -76,3 +76,16 @@ def test_operator(spark):
     rate = {(r.feed_idx, r.field): r.share for r in t.rates(t.judged(df, "item_row", ("summary",))).collect()}
     assert set(rate) == {(0, "summary"), (1, "summary"), (2, "summary"), (None, "summary")}
     assert t.judged(df.limit(0), "item_row", ("summary",)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["<p>One <b>is bold. Two is not.", "<div><p>All of this is said.</p>", "He left (it was late. Nobody saw.", "See [the list. It is long.", "The escape is \\u00e", "The path is https://x.example/a%E3%8"],
+)
+def test_what_stays_open_is_cut(value):
+    assert t.judge(value, {}) == "cut"
+
+
+@pytest.mark.parametrize("value", ["<p>One <b>is</b> bold.", "<ul><li>One.<li>Two.</ul>", "Fine :( All is said.", "He left (late). All is said.", "a) One is said.", "Up by 5 %.", "One (open here\nbut done there.", "(One <b>is</b> said.) All is.", "x <y and 3 < 4. Done."])
+def test_what_is_closed_is_whole(value):
+    assert t.judge(value, {}) in ("whole", "closing")
