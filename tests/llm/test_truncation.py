@@ -80,7 +80,7 @@ def test_operator(spark):
 
 @pytest.mark.parametrize(
     "value",
-    ["<p>One <b>is bold. Two is not.", "<div><p>All of this is said.</p>", "He left (it was late. Nobody saw.", "See [the list. It is long.", "The escape is \\u00e", "The path is https://x.example/a%E3%8"],
+    ["<p>One <b>is bold. Two is not.", "<div><p>All of this is said.</p>", "He left (it was late. Nobody saw.", "See [the list. It is long.", "The escape is \\u00e", "The path is https://x.example/a%E3%8", "One „begins. " + "And so on. " * 500, "Said «once. " + "And so on. " * 500],
 )
 def test_what_stays_open_is_cut(value):
     assert t.judge(value, {}) == "cut"
