@@ -38,18 +38,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def job(args: argparse.Namespace, now: dt.datetime | None = None, zone: str = "UTC"):
-    """The reading job the flags describe; ValueError where they contradict each other."""
+def job(args: argparse.Namespace, now: dt.datetime | None = None, zone: str | None = None):
+    """The reading job the flags describe; ValueError where they contradict each other.  Dates are days of this machine's zone if none is given."""
     from feedloom.plans.reader import FeedJob
 
     since = args.since
     if args.all and (args.since or args.until):
-        raise ValueError("--all cannot be combined with --since or --until")
+        raise ValueError("--all leaves no room for --since or --until")
     if not since and not args.until and not args.all:
         since = ((now or dt.datetime.now(dt.timezone.utc)) - dt.timedelta(days=LOOK_BACK_DAYS)).isoformat()
         since = since.replace("+00:00", "Z")
     if args.updated and not since and not args.until:
-        raise ValueError("--updated requires --since or --until")
+        raise ValueError("--updated needs a period: --since or --until")
     return FeedJob(since=since, until=args.until, prefer_updated=args.updated, max_pages=args.max_pages, jq=args.jq, raw=args.raw, with_feed=args.with_feed, zone=zone)
 
 
@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, stdin: TextIO | None = sys.stdin, out: T
     try:
         todo = addresses(args.urls, stdin)
         if not todo:
-            raise ValueError("at least one feed or site address is required")
+            raise ValueError("no address of a feed or site was given")
         plan = job(args)
         if spark is None:
             from feedloom.session import local_session

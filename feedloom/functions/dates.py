@@ -52,8 +52,8 @@ def within(t: Column, since: dt.datetime | None, until: dt.datetime | None) -> C
 
 
 # On the driver and inside parsers
-def parse_bound(text: str, zone: str = "UTC") -> dt.datetime:
-    """A bound of a period: RFC 3339, or a date meaning its local midnight."""
+def parse_bound(text: str, zone: str | None = "UTC") -> dt.datetime:
+    """A bound of a period: RFC 3339, or a date meaning its midnight in the zone; no zone means that of this machine."""
     if _RFC3339.fullmatch(text):
         try:
             return dt.datetime.fromisoformat(text.replace(",", "."))
@@ -61,10 +61,11 @@ def parse_bound(text: str, zone: str = "UTC") -> dt.datetime:
             pass
     if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
         try:
-            return dt.datetime.fromisoformat(text).replace(tzinfo=ZoneInfo(zone))
+            day = dt.datetime.fromisoformat(text)
+            return day.replace(tzinfo=ZoneInfo(zone)) if zone else day.astimezone()
         except ValueError:
             pass
-    raise ValueError(f"invalid time {text!r}: want RFC 3339 or YYYY-MM-DD")
+    raise ValueError(f"{text!r} is no time: neither RFC 3339 nor a date like 2024-01-31")
 
 
 def normalize_text(text: str) -> str:

@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 from functools import lru_cache
 from urllib.parse import parse_qsl, quote_plus, unquote
 
+import pyarrow as pa
+
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(.*)", re.S)
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
@@ -170,7 +172,7 @@ def without_fragment(value: str) -> str:
 def display(value: str) -> str:
     """Without user information, for messages."""
     u = parse(value)
-    return "<invalid URL>" if u is None else replace(u, user=None).text()
+    return "(no URL)" if u is None else replace(u, user=None).text()
 
 
 def valid_http(value: str | None) -> bool:
@@ -179,23 +181,25 @@ def valid_http(value: str | None) -> bool:
     return bool(u and u.scheme in ("http", "https") and u.authority and u.hostname and u.user is None)
 
 
+#: Name (or the address part of an IPv6 literal), zone with the closing bracket, and port of an authority.
+_HOST = re.compile(r"(\[[^\]%]*|[^:\[]*)((?:%[^\]]*)?\]?)(:[0-9]*)?")
+_DEFAULT_PORTS = {"http": ":80", "https": ":443"}
+
+
 def canonical(value: str) -> str:
-    """The form compared in discovery: no fragment, lower-case host (an IPv6 zone keeps its case), no default port, a path."""
+    """Syntax- and scheme-based normalisation of RFC 3986 (6.2.2.1, 6.2.3), the form compared in discovery, without a fragment.
+
+    Escapes stay as they are, as does the zone of an IPv6 address, which names an interface.
+    """
     u = parse(value)
-    if u is None or not u.authority:
-        return value if u is None else replace(u, fragment=None).text()
-    host = u.host
-    if host.startswith("[") and "%" in host:
-        at = host.index("%")
-        host = host[:at].lower() + host[at:]
-    else:
-        host = host.lower()
-    u = replace(u, fragment=None, host=host)
-    if (u.scheme, u.port) in (("http", "80"), ("https", "443")):
-        u = replace(u, host=host[: len(host) - len(u.port) - 1])
-    if not u.path:
-        u = replace(u, path="/")
-    return u.text()
+    if u is None:
+        return value
+    normal = {"fragment": None}
+    if u.authority:
+        name, zone, port = _HOST.fullmatch(u.host).groups("")
+        normal["host"] = name.lower() + zone + ("" if port == _DEFAULT_PORTS.get(u.scheme) else port)
+        normal["path"] = u.path or "/"
+    return replace(u, **normal).text()
 
 
 def candidate(base: str, href: str) -> str | None:
@@ -253,18 +257,32 @@ def path_words(href: str) -> str:
 
 # Columns --------------------------------------------------------------------------------------------------------
 def columns():
-    """Arrow-batched forms: ``resolve_url(base, ref)``, ``canonical_url(u)``, ``display_url(u)``, ``valid_url(u)``, ``page_url(u)``."""
+    """Functions over whole Arrow batches: ``resolve_url(base, ref)``, ``canonical_url(u)``, ``display_url(u)``, ``valid_url(u)``, ``page_url(u)``.
+
+    Null gives null, but no address is valid where there is none.
+    """
     from pyspark.sql import functions as F
 
-    def text(f):
-        return F.udf(lambda x: None if x is None else f(x), "string", useArrow=True)
+    def text(f, name):
+        def batch(u: pa.Array) -> pa.Array:
+            d = u.dictionary_encode()  # each distinct address once
+            return pa.array([None if x is None else f(x) for x in d.dictionary.to_pylist()], pa.string()).take(d.indices)
+
+        batch.__name__ = name
+        return F.arrow_udf(batch, "string")
+
+    def resolve_url(base: pa.Array, ref: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else resolve(b, r) for b, r in zip(base.to_pylist(), ref.to_pylist())], pa.string())
+
+    def valid_url(u: pa.Array) -> pa.Array:
+        return pa.array(list(map(valid_http, u.to_pylist())), pa.bool_())
 
     return {
-        "resolve_url": F.udf(lambda base, ref: None if ref is None else resolve(base, ref), "string", useArrow=True),
-        "canonical_url": text(canonical),
-        "display_url": text(display),
-        "valid_url": F.udf(valid_http, "boolean", useArrow=True),
-        "page_url": text(without_fragment),
+        "resolve_url": F.arrow_udf(resolve_url, "string"),
+        "canonical_url": text(canonical, "canonical_url"),
+        "display_url": text(display, "display_url"),
+        "valid_url": F.arrow_udf(valid_url, "boolean"),
+        "page_url": text(without_fragment, "page_url"),
     }
 
 

@@ -1,8 +1,9 @@
 """Documents to items, and what is decided over the pages and items of a feed.
 
-A document row is ``feed_idx, page, body, source_url, content_type`` (and ``status``); the order of items is
-``(feed_idx, page, pos)``.  Operators never sort; only sinks do.  Identity is settled by aggregations that combine
-before the shuffle; windows run over the pages of one feed, whose number is limited.
+A document row is ``feed_idx, page, body, source_url, content_type`` (and ``status``); where a feed was read more than
+once, ``crawl`` tells the readings apart, and all that is said of a feed below holds for each of its crawls.  The order of items is
+``(feed_idx, crawl, page, pos)``.  Operators never sort; only sinks do.  Identity is settled by aggregations that combine
+before the shuffle; the order of dates by one small summary of each page.
 """
 
 from __future__ import annotations
@@ -11,16 +12,29 @@ import datetime as dt
 from collections.abc import Iterator
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import dates, urls
+from feedloom.functions.numbers import number_column
+from feedloom.operators import descent
 from feedloom.operators.discovery import DiscoveryError, find_links, looks_like_html
-from feedloom.schema import ITEM_FIELDS, LINK, MAX_BYTES, MAX_PAGES, ORDER_SAMPLES, PARSED
+from feedloom.schema import ITEM_FIELDS, LINK, MAX_BYTES, MAX_PAGES, PARSED
 from feedloom.sources.jsonfeed import NotFeed, parse_json_feed
 from feedloom.sources.xmlfeed import parse_xml_feed
 
+
+def feed_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("feed_idx", "crawl") if c in df.columns]
+
+
+def position(df: DataFrame) -> list[str]:
+    """The columns that put items in order."""
+    return [*feed_keys(df), *(c for c in ("page", "pos", "out_pos") if c in df.columns)]
+
+
 # Parsing --------------------------------------------------------------------------------------------------------
 
 
@@ -33,28 +47,26 @@ def parse_document(body: bytes | None, source_url: str | None, content_type: str
     """One document: items, generator and next link, or an error class with its message."""
 
     def failed(kind: str, message: str) -> dict:
-        return {"items": None, "generator": None, "next_url": None, "error": kind, "message": message}
+        return {"items": None, "generator": None, "next_url": None, "descent": None, "error": kind, "message": message}
 
     where = urls.display(source_url or "")
     if status is not None and not 200 <= status < 300:
-        return failed("HTTP_STATUS", f"fetch feed {where}: {status}")
+        return failed("HTTP_STATUS", f"asking for {where}: status {status}")
     if not urls.valid_http(source_url):
-        return failed("INVALID_URL", "source URL must be absolute HTTP(S) without userinfo")
+        return failed("INVALID_URL", "a document needs an http or https address with a host and without a user")
     body = body or b""
     if len(body) > MAX_BYTES:
-        return failed("TOO_LARGE", f"parse feed {where}: document exceeds {MAX_BYTES} bytes")
+        return failed("TOO_LARGE", f"reading {where}: more than {MAX_BYTES} bytes")
     body = body.removeprefix(b"\xef\xbb\xbf")
     try:
         got = parse_json_feed(body, source_url) if looks_like_json(body) else parse_xml_feed(body, source_url)
     except NotFeed as e:
         hint = "; the document is HTML: discover its feeds first" if looks_like_html(body, content_type) else ""
-        return failed("NOT_FEED", f"parse feed {where}: {e}{hint}")
-    return got | {"error": None, "message": None}
+        return failed("NOT_FEED", f"reading {where}: {e}{hint}")
+    return got | {"descent": descent.to_record(descent.of_items(got["items"])), "error": None, "message": None}
 
 
 def _parse(batches: Iterator, columns: tuple[str, ...], kind) -> Iterator:
-    import pyarrow as pa
-
     for b in batches:
         get = {n: b.column(n).to_pylist() for n in ("body", "source_url")}
         ct = b.column("content_type").to_pylist() if "content_type" in b.schema.names else [""] * b.num_rows
@@ -76,19 +88,17 @@ def parse(docs: DataFrame) -> DataFrame:
 
 def items(parsed: DataFrame) -> DataFrame:
     """One row per item with ``page`` and ``pos``, and typed instants beside the texts."""
-    keep = [c for c in ("feed_idx", "page") if c in parsed.columns]
+    keep = [*feed_keys(parsed), *(["page"] if "page" in parsed.columns else [])]
     out = parsed.where("parsed.error is null").select(*keep, F.posexplode("parsed.items").alias("pos", "item")).select(*keep, "pos", "item.*")
     return out.withColumns({"ts_published": dates.instant(F.col("date_published")), "ts_modified": dates.instant(F.col("date_modified"))})
 
 
 def errors(parsed: DataFrame) -> DataFrame:
-    return parsed.where("parsed.error is not null").select(*[c for c in ("feed_idx", "page", "source_url") if c in parsed.columns], "parsed.error", "parsed.message")
+    return parsed.where("parsed.error is not null").select(*[c for c in ("feed_idx", "crawl", "page", "source_url") if c in parsed.columns], "parsed.error", "parsed.message")
 
 
 # Discovery ----------------------------------------------------------------------------------------------------------
 def _discover(batches: Iterator, columns: tuple[str, ...], kind) -> Iterator:
-    import pyarrow as pa
-
     for b in batches:
         ct = b.column("content_type").to_pylist() if "content_type" in b.schema.names else [""] * b.num_rows
         links, errs, msgs = [], [], []
@@ -129,74 +139,55 @@ def keep_first(rows: DataFrame) -> DataFrame:
 
     An aggregation that combines before the shuffle, so an id with a third of all rows never gathers; null is an id like any other.
     """
-    best = rows.select("feed_idx", "id", F.struct("page", "pos").alias("__at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
-    return best.groupBy("feed_idx", "id").agg(F.min_by("__row", "__at").alias("__row")).select("__row.*")
+    keys = feed_keys(rows)
+    best = rows.select(*keys, "id", F.struct("page", "pos").alias("__at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    return best.groupBy(*keys, "id").agg(F.min_by("__row", "__at").alias("__row")).select("__row.*")
 
 
 def in_period(rows: DataFrame, since: dt.datetime | None = None, until: dt.datetime | None = None, prefer_updated: bool = False) -> DataFrame:
     """Half-open period; undated items go as soon as there is a bound."""
     if since is not None and until is not None and since > until:
-        raise ValueError("since must not be after until")
+        raise ValueError("the period ends before it begins")
     return rows.where(dates.within(dates.effective(F.col("ts_published"), F.col("ts_modified"), prefer_updated), since, until))
 
 
-def with_order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Rows up to the page limit with ``stop_page``: the first page after which dates in descending order have passed ``since``, or null.
+def order_stop(parsed: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``feed_idx, crawl, stop_page`` of the feeds that stop early: the first page after which dates in descending order have passed ``since``.
 
-    Two folds over all items, duplicates too: by the published date first and by the modified date first.  A
-    fold is done once it has ORDER_SAMPLES dates, never rose, and its last date is before ``since``; it is looked at at the
-    end of a page.  The second fold counts in the default mode only while no item was published after it was modified.
-    Pages beyond the limit are never read, so the rows of a feed that meet in one window are bounded by its pages.
-    One exchange on ``feed_idx`` serves all windows and a later aggregation by feed.
+    Works on parsed documents, of which only the summaries travel: at most ``max_pages`` of a crawl meet, each of some 100 bytes,
+    whatever the pages hold.  Duplicates count like any item; a document that is no feed counts for nothing.
     """
-    feed = Window.partitionBy("feed_idx")
-    order = feed.orderBy("page", "pos")
-    seen, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.columns
-    x = rows.where(F.col("page") <= max_pages).withColumns(
-        {"__a": F.coalesce("ts_published", "ts_modified"), "__b": F.coalesce("ts_modified", "ts_published"), "__late": F.coalesce(F.col("ts_published") > F.col("ts_modified"), F.lit(False))}
-    )
-    x = x.withColumns({f"__p{c}": F.last(f"__{c}", ignorenulls=True).over(earlier) for c in "ab"})
-    done = {}
-    for c in ("a", "b"):
-        d, p = F.col(f"__{c}"), F.col(f"__p{c}")
-        falls = F.bool_and(d.isNull() | p.isNull() | (d <= p)).over(seen)
-        done[f"__done_{c}"] = falls & (F.count(d).over(seen) >= ORDER_SAMPLES) & (F.last(d, ignorenulls=True).over(seen) < F.lit(since))
-    next_page = F.lead("page").over(order)
-    x = x.withColumns(done | {"__bound": F.bool_and(~F.col("__late")).over(seen), "__end": next_page.isNull() | (next_page != F.col("page"))})
-    stop = F.col("__done_b") if prefer_updated else F.col("__done_a") | (F.col("__bound") & F.col("__done_b"))
-    return x.withColumn("stop_page", F.min(F.when(F.col("__end") & stop, F.col("page"))).over(feed)).select(*[F.col(f"`{c}`") for c in own], "stop_page")
-
-
-def order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
-    """``feed_idx, stop_page`` of the feeds that stop early."""
-    slim = rows.select("feed_idx", "page", "pos", "ts_published", "ts_modified")
-    return with_order_stop(slim, since, prefer_updated, max_pages).where("stop_page is not null").groupBy("feed_idx").agg(F.min("stop_page").alias("stop_page"))
-
-
-def before_order_stop(rows: DataFrame, since: dt.datetime, prefer_updated: bool = False, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Rows up to each feed's stop page, in one pass over the rows."""
-    return with_order_stop(rows, since, prefer_updated, max_pages).where(F.col("page") <= F.coalesce("stop_page", F.lit(max_pages))).drop("stop_page")
+    floor = descent.bound(since)
+
+    def stops(pages: pa.Array) -> pa.Array:
+        return pa.array([descent.stop_page(((p["page"], descent.from_record(p["descent"])) for p in ps), floor, prefer_updated) for ps in pages.to_pylist()], pa.int32())
+
+    keys = feed_keys(parsed)
+    slim = parsed.where((F.col("page") <= max_pages) & F.col("parsed.error").isNull()).select(*keys, F.struct("page", "parsed.descent").alias("p"))
+    per = slim.groupBy(*keys).agg(F.array_sort(F.collect_list("p"), lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0)).alias("pages"))
+    return per.select(*keys, F.arrow_udf(stops, "int")("pages").alias("stop_page")).where("stop_page is not null")
 
 
 def cut_after(rows: DataFrame, stop: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Rows up to each feed's stop page and the page limit."""
-    return rows.join(stop, "feed_idx", "left").where(F.col("page") <= F.least(F.coalesce("stop_page", F.lit(max_pages)), F.lit(max_pages))).drop("stop_page")
+    return rows.join(stop, feed_keys(rows), "left").where(F.col("page") <= F.least(F.coalesce("stop_page", F.lit(max_pages)), F.lit(max_pages))).drop("stop_page")
 
 
 def new_per_page(rows: DataFrame) -> DataFrame:
-    """``feed_idx, page, new_items``: ids that no earlier item of the feed had."""
-    first = rows.groupBy("feed_idx", "id").agg(F.min("page").alias("page")).groupBy("feed_idx", "page").agg(F.count("*").alias("new_items"))
-    pages = rows.select("feed_idx", "page").distinct()
-    return pages.join(first, ["feed_idx", "page"], "left").select("feed_idx", "page", F.coalesce("new_items", F.lit(0)).alias("new_items"))
+    """``feed_idx, crawl, page, new_items``: ids that no earlier item of the feed had."""
+    keys = feed_keys(rows)
+    first = rows.groupBy(*keys, "id").agg(F.min("page").alias("page")).groupBy(*keys, "page").agg(F.count("*").alias("new_items"))
+    pages = rows.select(*keys, "page").distinct()
+    return pages.join(first, [*keys, "page"], "left").select(*keys, "page", F.coalesce("new_items", F.lit(0)).alias("new_items"))
 
 
 def guessed_pages(rows: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """``feed_idx, stop_page`` of feeds read by guessing page numbers: a page that adds nothing new ends them, as does one that is missing."""
-    stale = new_per_page(rows).where("new_items = 0").select("feed_idx", "page")
+    keys = feed_keys(rows)
+    stale = new_per_page(rows).where("new_items = 0").select(*keys, "page")
     if missing is not None:
-        stale = stale.unionByName(missing.select("feed_idx", "page"))
-    return stale.groupBy("feed_idx").agg(F.min("page").alias("stop_page"))
+        stale = stale.unionByName(missing.select(*keys, "page"))
+    return stale.groupBy(*keys).agg(F.min("page").alias("stop_page"))
 
 
 # Pages of a static corpus -------------------------------------------------------------------------------------------------
@@ -228,7 +219,18 @@ def before_first_error(rows: DataFrame, failed: DataFrame) -> DataFrame:
     return rows if bad is None else rows.where(F.col("feed_idx") < bad)
 
 
+def item_json(rows: DataFrame, fields: list[str]) -> Column:
+    """An item as compact JSON with sorted keys and shortest numbers; absent fields are left out."""
+    kind = rows.schema["attachments"].dataType
+    inner = kind.elementType.names if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else []
+    if "attachments" not in fields or "duration_in_seconds" not in inner:
+        return F.to_json(F.struct(*fields))
+    # The number is written here and its quotation marks taken away: no text can hold the name with plain quotation marks around it.
+    texts = F.transform("attachments", lambda a: F.struct(*[(number_column(a[c]) if c == "duration_in_seconds" else a[c]).alias(c) for c in inner]))
+    out = F.to_json(F.struct(*[texts.alias(c) if c == "attachments" else F.col(c) for c in fields]))
+    return F.when(F.col("attachments").isNull(), out).otherwise(F.regexp_replace(out, r'"duration_in_seconds":"([^"]*)"', '"duration_in_seconds":$1'))
+
+
 def as_output(rows: DataFrame, with_feed: bool = False) -> DataFrame:
-    """``feed_idx, page, pos, value``: each item as compact JSON with sorted keys; absent fields are left out."""
-    fields = [c for c in ITEM_FIELDS if with_feed or c != "_feed"]
-    return rows.select("feed_idx", "page", "pos", F.to_json(F.struct(*fields)).alias("value"))
+    """``feed_idx, crawl, page, pos, value``: each item as a line of output."""
+    return rows.select(*position(rows), item_json(rows, [c for c in ITEM_FIELDS if with_feed or c != "_feed"]).alias("value"))

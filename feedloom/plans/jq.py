@@ -18,6 +18,8 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.numbers import number_text
+
 # Lexer --------------------------------------------------------------------------------------------------------------
 _LEX = re.compile(
     r"(?P<ws>\s+|\#[^\n]*)|(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<str>\")|(?P<fmt>@[A-Za-z0-9_]+)|(?P<var>\$[A-Za-z_]\w*)"
@@ -368,23 +370,40 @@ def parse(src: str):
 # Values ---------------------------------------------------------------------------------------------------------------
 def dumps(v) -> str:
     """Compact JSON with sorted keys and shortest numbers."""
-    return json.dumps(_finite(v), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    odd: list[float] = []
+    v = _finite(v, odd)
+    return _written(v) if odd else json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
 
-def _finite(v):
+def _finite(v, odd: list):
+    """Whole numbers as integers, NaN as null, infinity as the largest number; ``odd`` gets those that Python writes in another way."""
     if isinstance(v, float):
         if math.isnan(v):
             return None
         if math.isinf(v):
-            return 1.7976931348623157e308 if v > 0 else -1.7976931348623157e308
-        return int(v) if v.is_integer() and abs(v) < 1e17 else v
+            v = math.copysign(1.7976931348623157e308, v)
+        if v.is_integer() and abs(v) < 2**53:
+            return int(v)
+        if "e" in repr(v):
+            odd.append(v)
+        return v
     if isinstance(v, list):
-        return [_finite(x) for x in v]
+        return [_finite(x, odd) for x in v]
     if isinstance(v, dict):
-        return {k: _finite(x) for k, x in v.items()}
+        return {k: _finite(x, odd) for k, x in v.items()}
     return v
 
 
+def _written(v) -> str:
+    if isinstance(v, float):
+        return number_text(v)
+    if isinstance(v, list):
+        return "[" + ",".join(map(_written, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v[k])}" for k in sorted(v)) + "}"
+    return json.dumps(v, ensure_ascii=False)
+
+
 def _type(v) -> str:
     return "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
@@ -833,7 +852,11 @@ class Program:
             for e in plain:
                 yield from self._eval(body, pv, e)
             return
-        yield from _BUILTINS[f"_{name}_{len(args)}"](self, pv, args, env)
+        try:
+            yield from _BUILTINS[f"_{name}_{len(args)}"](self, pv, args, env)
+        except (TypeError, AttributeError, IndexError, KeyError, OverflowError, ArithmeticError, re.error) as e:
+            # A value of a kind the function can't take is an error of the program, which ``try`` catches.
+            raise JqError(f"{name}/{len(args)} cannot be applied to: {_type(pv[1])} ({e})") from e
 
 
 def _names(pat) -> Iterator[str]:
@@ -920,6 +943,7 @@ def _recurse(prog, pv, args, env):
 @_raw("getpath", 1)
 def _getpath(prog, pv, args, env):
     for path in prog._values(args[0], pv[1], env):
+        _need(path, "array", "getpath")
         x = pv
         for k in path:
             x = prog._step(x, k) if x[1] is not None else (None if x[0] is None else (*x[0], k), None)
@@ -982,6 +1006,13 @@ def _splits(prog, pv, args, env):
         yield from ((None, s) for s in _re_split(pv[1], r, ""))
 
 
+@_raw("splits", 2)
+def _splits2(prog, pv, args, env):
+    for f in prog._values(args[1], pv[1], env):
+        for r in prog._values(args[0], pv[1], env):
+            yield from ((None, s) for s in _re_split(pv[1], r, f))
+
+
 _fn("not")(lambda v: not _true(v))
 _fn("type")(_type)
 _fn("tojson")(dumps)
@@ -1000,6 +1031,7 @@ _fn("round")(lambda v: math.floor(abs(_need(v, "number", "round")) + 0.5) * (1 i
 _fn("sqrt")(lambda v: math.sqrt(_need(v, "number", "sqrt")))
 _fn("fabs")(lambda v: abs(float(_need(v, "number", "fabs"))))
 _fn("abs")(lambda v: abs(_need(v, "number", "abs")))
+_fn("significand")(lambda v: math.frexp(_need(v, "number", "significand"))[0] * 2)
 _fn("trim")(lambda v: _need(v, "string", "trim").strip())
 _fn("ltrim")(lambda v: _need(v, "string", "ltrim").lstrip())
 _fn("rtrim")(lambda v: _need(v, "string", "rtrim").rstrip())
@@ -1241,7 +1273,7 @@ _LIBRARY = {
     ("paths", ("f",)): "path(.. | if f then . else empty end) | if length > 0 then . else empty end",
     ("leaf_paths", ()): "paths(scalars)",
     ("del", ("f",)): "delpaths([path(f)])",
-    ("to_array", ()): 'if type == "array" then . else [.] end',
+    ("toarray", ()): 'if type == "array" then . else [.] end',
     ("any", ()): "reduce .[] as $x (false; . or $x)",
     ("all", ()): "reduce .[] as $x (true; . and $x)",
     ("any", ("f",)): "reduce (.[] | f) as $x (false; . or $x)",
@@ -1379,14 +1411,17 @@ def _interpret(batches: Iterator, program: Program, keys: tuple[str, ...]) -> It
         yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in keys), pa.array(pos, pa.int32()), pa.array(out, pa.string())], names=[*keys, "out_pos", "value"])
 
 
-def apply(rows: DataFrame, src: str, with_feed: bool = True, keys: tuple[str, ...] = ("feed_idx", "page", "pos"), columns: bool = True) -> DataFrame:
-    """``keys, out_pos, value``: the program's values for each item, as JSON.  ``columns=False`` forces the interpreter."""
+def apply(rows: DataFrame, src: str, with_feed: bool = True, keys: tuple[str, ...] | None = None, columns: bool = True) -> DataFrame:
+    """``keys, out_pos, value``: the program's values for each item, as JSON; ``keys`` are those of its place if not given.  ``columns=False`` forces the interpreter."""
+    from feedloom.operators.feeds import item_json, position
     from feedloom.schema import ITEM_FIELDS
 
+    keys = keys or tuple(position(rows))
+
     program = Program(src)
     fields = [c for c in ITEM_FIELDS if with_feed or c != "_feed"]
     kept = rows if with_feed else rows.withColumn("_feed", F.lit(None).cast(rows.schema["_feed"].dataType))
-    whole = kept.withColumn("__item", F.to_json(F.struct(*fields)))
+    whole = kept.withColumn("__item", item_json(kept, fields))
     if columns:
         try:
             keep, value = to_columns(src)

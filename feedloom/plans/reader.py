@@ -39,54 +39,72 @@ class FeedJob:
     jq: str = ""
     raw: bool = False
     with_feed: bool = False
-    zone: str = "UTC"
+    zone: str | None = "UTC"
+    #: ``module:function`` that makes one request (``sources.http.Transport``) in place of the built-in one.
+    transport: str | None = None
+    #: Feeds that are read at once.
+    at_once: int = 8
 
     def __post_init__(self):
         self.since = parse_bound(self.since, self.zone) if isinstance(self.since, str) and self.since else self.since or None
         self.until = parse_bound(self.until, self.zone) if isinstance(self.until, str) and self.until else self.until or None
         if self.max_pages < 1:
-            raise ValueError("max pages must be at least 1")
+            raise ValueError("at least one of a feed's pages must be read")
         if self.since and self.until and self.since > self.until:
-            raise ValueError("since must not be after until")
+            raise ValueError("the period ends before it begins")
         if self.user_agent is not None and not self.user_agent.strip():
-            raise ValueError("user agent must not be blank")
+            raise ValueError("the user agent is blank")
         if self.raw and not self.jq:
-            raise ValueError("raw output requires a program")
+            raise ValueError("bare texts come from a program only")
         if self.jq:
             programs.Program(self.jq)  # a wrong program fails before anything is read
 
+    def _options(self) -> dict[str, str]:
+        o = {"maxPages": str(self.max_pages), "discovery": str(self.discovery).lower(), "preferUpdated": str(self.prefer_updated).lower(), "atOnce": str(self.at_once)}
+        if self.since:
+            o["since"] = self.since.isoformat().replace("+00:00", "Z")
+        return o | {k: v for k, v in (("userAgent", self.user_agent), ("transport", self.transport)) if v}
+
     def fetch(self, spark: SparkSession, addresses: list[str], **options: str) -> DataFrame:
         """Documents of live feeds."""
         from feedloom.sources import http
 
         http.register(spark)
-        r = spark.read.format("feeds").option("urls", json.dumps(addresses)).option("maxPages", self.max_pages).option("discovery", str(self.discovery).lower()).option("preferUpdated", str(self.prefer_updated).lower())
-        if self.since:
-            r = r.option("since", self.since.isoformat().replace("+00:00", "Z"))
-        if self.user_agent:
-            r = r.option("userAgent", self.user_agent)
-        return r.options(**options).load()
+        return spark.read.format("feeds").options(**self._options() | {"urls": json.dumps(addresses)} | options).load()
+
+    def fetch_table(self, addresses: DataFrame, **options: str) -> DataFrame:
+        """The same for addresses in a table ``feed_idx, url`` of any size; they stay on the executors."""
+        from feedloom.sources import http
+
+        return http.documents(addresses, self._options() | options)
 
     def parse(self, docs: DataFrame) -> DataFrame:
         """Items of single documents: no identity check across items, no pages; only the period."""
         return feeds.in_period(feeds.items(feeds.parse(docs)), self.since, self.until, self.prefer_updated)
 
     def from_documents(self, docs: DataFrame) -> DataFrame:
-        """Items of feeds: pages up to the limit and the early stop, first occurrences, then the period."""
-        rows = feeds.items(feeds.parse(docs.where(F.col("page") <= self.max_pages)))
-        if self.since:
-            rows = feeds.before_order_stop(rows, self.since, self.prefer_updated, self.max_pages)
+        """Items of feeds: pages up to the limit and the early stop, first occurrences, then the period.
+
+        A document is parsed once: with a lower bound the parsed pages are written, since the stop is read off their summaries first.
+        """
+        from feedloom.session import materialize
+
+        parsed = feeds.parse(docs.where(F.col("page") <= self.max_pages))
+        if not self.since:
+            return feeds.in_period(feeds.keep_first(feeds.items(parsed)), None, self.until, self.prefer_updated)
+        parsed = materialize(parsed, "parsed")
+        rows = feeds.cut_after(feeds.items(parsed), feeds.order_stop(parsed, self.since, self.prefer_updated, self.max_pages), self.max_pages)
         return feeds.in_period(feeds.keep_first(rows), self.since, self.until, self.prefer_updated)
 
     def lines(self, rows: DataFrame) -> DataFrame:
-        """``feed_idx, page, pos, out_pos, value``: one line of output per row, not sorted."""
+        """``feed_idx, crawl, page, pos, out_pos, value``: one line of output per row, not sorted."""
         if not self.jq:
             return feeds.as_output(rows, self.with_feed).withColumn("out_pos", F.lit(0))
         out = programs.apply(rows, self.jq, self.with_feed)
         return programs.raw(out) if self.raw else out
 
     def ordered(self, lines: DataFrame) -> DataFrame:
-        return lines.orderBy("feed_idx", "page", "pos", "out_pos")
+        return lines.orderBy(*feeds.position(lines))
 
     def run(self, spark: SparkSession, addresses: list[str], **options: str) -> Iterator[str]:
         """Lines in input order up to the first feed that failed, which is raised after them."""
@@ -105,4 +123,4 @@ class FeedJob:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """JSON Lines as files: range-partitioned by position, so the files in order are the output in order."""
-    lines.orderBy("feed_idx", "page", "pos", "out_pos").select("value").write.text(path)
+    lines.orderBy(*feeds.position(lines)).select("value").write.text(path)

@@ -11,7 +11,7 @@ from feedloom.functions import dates, urls
 from feedloom.operators import feeds, redelivery
 from feedloom.plans import jq
 from feedloom.sources import corpus
-from feedloom.session import scratch_path, table
+from feedloom.session import materialize, scratch_path, table
 from feedloom.streaming import feeds as streams
 
 UTC = dt.timezone.utc
@@ -31,8 +31,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _parsed(spark, d) -> DataFrame:
+    return feeds.parse(corpus.json_pages(corpus.entries(spark, d)))
+
+
 def _json(spark, d) -> DataFrame:
-    return feeds.items(feeds.parse(corpus.json_pages(corpus.entries(spark, d))))
+    return feeds.items(_parsed(spark, d))
 
 
 # The same entries in SQL.
@@ -167,9 +171,8 @@ def _edges(spark, d, cycle: bool = False) -> tuple[DataFrame, DataFrame]:
     nxt = F.col("parsed.next_url")
     if cycle:
         nxt = F.coalesce(nxt, F.concat(F.lit("https://u"), "feed_idx", F.lit(".example/feed?page=1")))
-    pages = parsed.select(F.col("source_url").alias("url"), nxt.alias("next_url"))
-    starts = parsed.where("page = 1").select("feed_idx", F.col("source_url").alias("url"))
-    return pages, starts
+    slim = materialize(parsed.select("feed_idx", "page", F.col("source_url").alias("url"), nxt.alias("next_url")), "edges")
+    return slim.select("url", "next_url"), slim.where("page = 1").select("feed_idx", "url")
 
 
 _URL = "'https://u' || feed_idx || '.example/feed?page=' || page as url"
@@ -198,7 +201,7 @@ select *, row_number() over (partition by feed_idx, title order by page, pos) =
 @query("paginate_guess", f"{_EV}, s as ({_GUESS}) select j.feed_idx, page, pos from j left join s using (feed_idx) where page <= coalesce(stop_page, 10) and page <= 10")
 def paginate_guess(spark, d):
     """Identity by title here, so pages that add nothing do occur."""
-    rows = _json(spark, d).withColumn("id", F.col("title"))
+    rows = materialize(_json(spark, d).select("feed_idx", "page", "pos", F.col("title").alias("id")), "guess")
     return feeds.cut_after(rows, feeds.guessed_pages(rows)).select("feed_idx", "page", "pos")
 
 
@@ -219,17 +222,18 @@ EARLY = dt.datetime(2024, 1, 25, tzinfo=UTC)
 
 @query("early_stop_published", _stop_sql(False))
 def early_stop_published(spark, d):
-    return feeds.order_stop(_json(spark, d), EARLY)
+    return feeds.order_stop(_parsed(spark, d), EARLY)
 
 
 @query("early_stop_modified", _stop_sql(True))
 def early_stop_modified(spark, d):
-    return feeds.order_stop(_json(spark, d), EARLY, prefer_updated=True)
+    return feeds.order_stop(_parsed(spark, d), EARLY, prefer_updated=True)
 
 
 @query("early_stop_cut", f"select j.feed_idx, page, pos from ({_EV} select * from j) j left join ({_stop_sql(False)}) s using (feed_idx) where page <= least(coalesce(stop_page, 10), 10)")
 def early_stop_cut(spark, d):
-    return feeds.before_order_stop(_json(spark, d), EARLY).select("feed_idx", "page", "pos")
+    parsed = materialize(_parsed(spark, d), "parsed")
+    return feeds.cut_after(feeds.items(parsed), feeds.order_stop(parsed, EARLY)).select("feed_idx", "page", "pos")
 
 
 @query("wordpress_detect", "select feed_idx, regexp_matches(trim(generator), '^[hH][tT][tT][pP][sS]?://[wW][oO][rR][dD][pP][rR][eE][sS][sS]\\.[oO][rR][gG](:[0-9]*)?([/?#].*)?$') as wordpress from feeds where generator is not null")
@@ -437,8 +441,6 @@ def with_feed(spark, d):
 def feed_order(spark, d):
     """Line numbers of the output, as a sink numbers them: by a range sort and offsets of its partitions."""
     rows = _json(spark, d).select("feed_idx", "page", "pos", "id").orderBy("feed_idx", "page", "pos")
-    from feedloom.session import materialize
-
     kept = materialize(rows.withColumn("part", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)), "ordered")
     from pyspark.sql import Window
 

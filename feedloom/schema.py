@@ -9,8 +9,9 @@ ITEM = (
     f"struct<_feed {FEED}, attachments array<{ATTACHMENT}>, authors array<{AUTHOR}>, banner_image string, content_html string, content_text string, "
     "date_modified string, date_published string, external_url string, id string, image string, summary string, tags array<string>, title string, url string>"
 )
-#: What one document parses to.  ``error`` is null for a feed.
-PARSED = f"struct<items array<{ITEM}>, generator string, next_url string, error string, message string>"
+#: What one document parses to.  ``error`` is null for a feed; ``descent`` is the summary of its items' dates (``operators.descent``).
+DESCENT = "struct<late boolean, slopes array<struct<count int, falls boolean, first array<bigint>, last array<bigint>>>>"
+PARSED = f"struct<items array<{ITEM}>, generator string, next_url string, descent {DESCENT}, error string, message string>"
 LINK = "struct<pos int, url string, title string, type string>"
 ITEM_FIELDS = "_feed attachments authors banner_image content_html content_text date_modified date_published external_url id image summary tags title url".split()
 #: Documents above this size are refused.

@@ -6,6 +6,7 @@ import hashlib
 import json
 
 from feedloom.functions.dates import normalize_text
+from feedloom.functions.numbers import number_text
 from feedloom.functions.urls import resolve, without_fragment
 from feedloom.operators.flatten import load_object
 
@@ -63,17 +64,6 @@ def _text(s: str) -> str:
     return "".join(_ESCAPES.get(c, c) for c in out) if any(c in out for c in _ESCAPES) else out
 
 
-def _number(x: float) -> str:
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    if 1e-6 <= abs(x) < 1e21:
-        from decimal import Decimal
-
-        return format(Decimal(repr(x)), "f")
-    m, _, e = repr(x).partition("e")
-    return f"{m}e{e[0]}{e[1:].lstrip('0').zfill(2)}" if e else m
-
-
 def _author(a: dict) -> str:
     return "{" + ",".join(f'"{k}":{_text(a[k])}' for k in ("name", "url", "avatar") if a.get(k)) + "}"
 
@@ -85,7 +75,7 @@ def generated_id(item: dict) -> str:
         return "null" if v is None else "[" + ",".join(map(one, v)) + "]"
 
     def attachment(a: dict) -> str:
-        return "{" + ",".join([*(f'"{k}":{_text(a.get(k) or "")}' for k in ("url", "mime_type", "title")), f'"size_in_bytes":{a.get("size_in_bytes") or 0}', f'"duration_in_seconds":{_number(a.get("duration_in_seconds") or 0.0)}']) + "}"
+        return "{" + ",".join([*(f'"{k}":{_text(a.get(k) or "")}' for k in ("url", "mime_type", "title")), f'"size_in_bytes":{a.get("size_in_bytes") or 0}', f'"duration_in_seconds":{number_text(a.get("duration_in_seconds") or 0.0)}']) + "}"
 
     parts = [f'"{k}":{_text(item.get(k) or "")}' for k in list(_ITEM)[:11]]
     parts.append(f'"authors":{many(item.get("authors"), _author)}')

@@ -58,7 +58,7 @@ def to_utf8(body: bytes) -> bytes:
             text = body.decode(enc, "strict")
             break
     else:
-        m = re.match(rb"\s*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._:-]+)[\"']", body[:300])
+        m = re.match(rb"\s*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._:-]+)[\"']", body)
         enc = m[1].decode() if m else "utf-8"
         # Web practice: these labels mean the Windows code page.
         enc = {"iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252"}.get(enc.lower(), enc)

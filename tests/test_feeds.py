@@ -7,7 +7,7 @@ import pytest
 from feedloom.operators import feeds
 from feedloom.sources.jsonfeed import generated_id
 
-SRC = "https://example.com/feeds/main.xml"
+SRC = "https://harbour.example/out/list.xml"
 
 
 def parse(body, src=SRC, **k):
@@ -30,12 +30,12 @@ ATOM = '<feed xmlns="http://www.w3.org/2005/Atom">{}</feed>'
 
 def test_rss():
     it = one(b"\xef\xbb\xbf" + RSS.format('<atom:link rel="self next" href="?page=2#x"/><item><guid>g</guid><link>posts/1</link><title>A &amp; B</title><description>d</description><content:encoded>&lt;p&gt;c&lt;/p&gt;</content:encoded><pubDate>Mon, 15 Jan 2024 12:00:00 GMT</pubDate><category>x</category><category>y</category><dc:creator>Me</dc:creator><enclosure url="/f.mp3" type="audio/mpeg" length="12"/></item>').encode())
-    assert it["id"] == "g" and it["url"] == "https://example.com/feeds/posts/1" and it["title"] == "A & B" and it["content_html"] == "<p>c</p>" and it["summary"] == "d"
+    assert it["id"] == "g" and it["url"] == "https://harbour.example/out/posts/1" and it["title"] == "A & B" and it["content_html"] == "<p>c</p>" and it["summary"] == "d"
     assert it["date_published"] == "2024-01-15T12:00:00Z" and it["tags"] == ["x", "y"] and it["authors"][0]["name"] == "Me"
-    assert it["attachments"] == [{"url": "https://example.com/f.mp3", "mime_type": "audio/mpeg", "title": None, "size_in_bytes": 12, "duration_in_seconds": None}]
-    assert it["_feed"] == {"title": "T", "home_page_url": "https://example.com/home", "feed_url": SRC}
+    assert it["attachments"] == [{"url": "https://harbour.example/f.mp3", "mime_type": "audio/mpeg", "title": None, "size_in_bytes": 12, "duration_in_seconds": None}]
+    assert it["_feed"] == {"title": "T", "home_page_url": "https://harbour.example/home", "feed_url": SRC}
     got = parse(RSS.format('<atom:link rel="self next" href="?page=2#x"/>'))
-    assert got["next_url"] == "https://example.com/feeds/main.xml?page=2" and got["generator"].startswith("https://wordpress")
+    assert got["next_url"] == "https://harbour.example/out/list.xml?page=2" and got["generator"].startswith("https://wordpress")
 
 
 @pytest.mark.parametrize("length, size", [("12", 12), ("-1", None), ("0", None), ("", None), (" 5 ", None), ("9223372036854775807", 2**63 - 1), ("9223372036854775808", None), ("1e3", None)])
@@ -45,7 +45,7 @@ def test_enclosure_sizes(length, size):
 
 def test_entries_without_identity_are_dropped():
     got = parse(RSS.format("<item><title>no</title></item><item><link>yes</link></item>"))
-    assert [i["id"] for i in got["items"]] == ["https://example.com/feeds/yes"]
+    assert [i["id"] for i in got["items"]] == ["https://harbour.example/out/yes"]
 
 
 def test_atom_bases_and_contents():
@@ -56,11 +56,11 @@ def test_atom_bases_and_contents():
         '<entry><id>3</id><content type="text">&lt;em&gt;</content><summary>s</summary></entry><entry><id>4</id><summary>s</summary><updated>2024-01-16T12:00:00+01:00</updated></entry>'
     )
     a, b, c, d = parse(body)["items"]
-    assert a["url"] == "https://example.com/feeds/e/one" and a["content_html"] == '<a href="https://example.com/feeds/e/x?a=1&amp;b=2">t</a>'
-    assert b["content_html"] == '<img src="https://example.com/feeds/i.png"/>'
+    assert a["url"] == "https://harbour.example/out/e/one" and a["content_html"] == '<a href="https://harbour.example/out/e/x?a=1&amp;b=2">t</a>'
+    assert b["content_html"] == '<img src="https://harbour.example/out/i.png"/>'
     assert c["content_text"] == "<em>" and c["content_html"] is None
     assert d["content_text"] == d["summary"] == "s" and d["date_modified"] == "2024-01-16T12:00:00+01:00" and d["date_published"] is None
-    assert a["authors"] == [{"name": "N", "url": "https://example.com/me", "avatar": None}]
+    assert a["authors"] == [{"name": "N", "url": "https://harbour.example/me", "avatar": None}]
 
 
 def test_encodings():
@@ -93,47 +93,87 @@ def test_json_values():
     assert it["attachments"] == [{"url": "u", "mime_type": "m", "title": None, "size_in_bytes": None, "duration_in_seconds": 1.5}]
 
 
-# Date order: the ten cases of published and modified dates with pages, and where reading stops ------------------------------
+# Date order ---------------------------------------------------------------------------------------------------------------
 def items(spark, rows):
     t = lambda x: None if x is None else dt.datetime(2024, *x)
     return spark.createDataFrame([(0, p, k, f"i{n}", t(a), t(b)) for n, (p, k, a, b) in enumerate(rows)], "feed_idx int, page int, pos int, id string, ts_published timestamp, ts_modified timestamp")
 
 
+def pages(spark, *feeds_, crawl=None):
+    """Parsed documents of feeds given as pages of (published, modified) days."""
+    iso = lambda d: d and "2024-%02d-%02dT00:00:00Z" % d
+    docs = [
+        (f, n + 1, bytearray(json.dumps({"version": "https://jsonfeed.org/version/1.1", "items": [{"id": str(k), "date_published": iso(a), "date_modified": iso(b)} for k, (a, b) in enumerate(page)]}).encode()), SRC)
+        for f, feed in enumerate(feeds_)
+        for n, page in enumerate(feed)
+    ]
+    df = spark.createDataFrame(docs, "feed_idx int, page int, body binary, source_url string")
+    return feeds.parse(df if crawl is None else df.selectExpr("*", f"{crawl} as crawl"))
+
+
 NEW, OLD = (4, 1), (2, 1)
+ONLY = lambda *days: [(d, None) for d in days]
 
 
 @pytest.mark.parametrize(
-    "pages, updated, stop",
+    "feed, stop",
     [
-        ([[NEW] * 2, [(2, 9), (2, 8), (2, 7)], [(2, 1)]], False, 2),
-        ([[NEW] * 2, [(2, 9), (2, 8)], [(2, 1)]], False, 3),  # five samples only on the third page
-        ([[NEW] * 2, [(2, 7), (2, 8), (2, 9)], [(2, 1)]], False, None),  # a later date follows
-        ([[NEW, None], [(2, 9), None, (2, 8), (2, 7), (2, 6)]], False, 2),
-        ([[NEW] * 5], False, None),
-        ([[(3, 1)] * 5], False, None),  # equal to the bound isn't before it
+        ([ONLY(NEW, NEW), ONLY((2, 9), (2, 8), (2, 7)), ONLY((2, 1))], 2),
+        ([ONLY(NEW, NEW), ONLY((2, 9), (2, 8)), ONLY((2, 1))], 3),  # five samples only on the third page
+        ([ONLY(NEW, NEW), ONLY((2, 7), (2, 8), (2, 9)), ONLY((2, 1))], None),  # a later date follows
+        ([ONLY((2, 9), (2, 8), (2, 7)), ONLY((2, 8), (2, 7), (2, 6))], None),  # it falls within both pages, and rises between them
+        ([ONLY(NEW, None), ONLY((2, 9), None, (2, 8), (2, 7), (2, 6))], 2),
+        ([ONLY(*[NEW] * 5)], None),
+        ([ONLY(*[(3, 1)] * 5)], None),  # equal to the bound isn't before it
+        ([[], ONLY(*[OLD] * 5), []], 2),
     ],
 )
-def test_order_stop(spark, pages, updated, stop):
-    rows = [(p + 1, k, d, None) for p, page in enumerate(pages) for k, d in enumerate(page)]
-    got = feeds.order_stop(items(spark, rows), dt.datetime(2024, 3, 1), updated).collect()
+def test_order_stop(spark, feed, stop):
+    got = feeds.order_stop(pages(spark, feed), dt.datetime(2024, 3, 1)).collect()
     assert (got[0].stop_page if got else None) == stop
 
 
-def test_a_job_parses_once_and_exchanges_once(spark):
+def test_crawls_stop_apart(spark):
+    """Interleaved readings of one feed: each has an order of its own."""
+    a, b = [ONLY(*[OLD] * 5), ONLY(OLD)], [ONLY((2, 1), (2, 2)), ONLY(OLD)]
+    both = pages(spark, a, b).selectExpr("0 as feed_idx", "feed_idx as crawl", "page", "source_url", "parsed")
+    assert [tuple(r) for r in feeds.order_stop(both, dt.datetime(2024, 3, 1)).collect()] == [(0, 0, 1)]
+    rows = feeds.items(both)
+    assert feeds.cut_after(rows, feeds.order_stop(both, dt.datetime(2024, 3, 1))).count() == 5 + 3
+    assert {(r.crawl, r.id) for r in feeds.keep_first(rows).collect()} == {(0, str(k)) for k in range(5)} | {(1, "0"), (1, "1")}
+
+
+def test_stretches_join_in_any_grouping():
+    from functools import reduce
+    from operator import add
+    from random import Random
+
+    from feedloom.operators import descent
+
+    rng = Random(4)
+    for _ in range(200):
+        parts = [descent.of_items([{"date_published": rng.choice([None, f"2024-01-{rng.randrange(1, 29):02d}T00:00:00.{rng.randrange(999999999):09d}Z"]), "date_modified": rng.choice([None, "2024-01-15T00:00:00+02:00"])} for _ in range(rng.randrange(4))]) for _ in range(6)]
+        k = rng.randrange(7)
+        assert reduce(add, parts[:k], descent.Stretch()) + reduce(add, parts[k:], descent.Stretch()) == reduce(add, parts, descent.Stretch())
+        assert descent.from_record(descent.to_record(parts[0])) == parts[0]
+
+
+def test_a_job_parses_once_and_moves_only_summaries(spark):
     from feedloom.plans.reader import FeedJob
 
     docs = spark.createDataFrame([(0, 1, bytearray(js(id="1").encode()), SRC, "")], "feed_idx int, page int, body binary, source_url string, content_type string")
-    plan = FeedJob(since="2024-01-01").from_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = FeedJob().from_documents(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow ") == 1 and plan.count("Exchange hashpartitioning") == 1
+    plan = FeedJob(since="2024-01-01").from_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan  # the parsed pages were written; their summaries alone are grouped
 
 
 def test_order_stop_by_modified(spark):
     since = dt.datetime(2024, 3, 1)
-    fine = [(1, k, (1, 1 + k), (2, 9 - k)) for k in range(5)]  # published rises, modified falls, published before modified
-    assert feeds.order_stop(items(spark, fine), since).collect()[0].stop_page == 1
-    late = [(1, k, (2, 10 + k), (2, 9 - k)) for k in range(5)]  # published after modified
-    assert feeds.order_stop(items(spark, late), since).collect() == []
-    assert feeds.order_stop(items(spark, late), since, prefer_updated=True).collect()[0].stop_page == 1
+    fine = [[((1, 1 + k), (2, 9 - k)) for k in range(5)]]  # published rises, modified falls, published before modified
+    late = [[((2, 10 + k), (2, 9 - k)) for k in range(5)]]  # published after modified
+    stops = lambda updated: {r.feed_idx: r.stop_page for r in feeds.order_stop(pages(spark, fine, late), since, updated).collect()}
+    assert stops(False) == {0: 1} and stops(True) == {0: 1, 1: 1}
 
 
 def test_period(spark):
@@ -156,6 +196,17 @@ def test_first_occurrences_combine_before_the_shuffle(spark):
     assert feeds.before_first_error(rows, rows.limit(0)).count() == 3 and feeds.before_first_error(rows, rows).count() == 0
 
 
+def test_numbers_in_the_output(spark):
+    docs = spark.createDataFrame([(0, 1, bytearray(js(id="1", title='"duration_in_seconds":"9"', attachments=[{"url": "u", "mime_type": "m", "duration_in_seconds": x} for x in (3600, 1.5, 12345678, 0.1, 12345678.5, 1e-7, 1e21)]).encode()), SRC)], "feed_idx int, page int, body binary, source_url string")
+    rows = feeds.items(feeds.parse(docs))
+    value = feeds.as_output(rows).first().value
+    assert [x.split(",")[0] for x in value.split('"duration_in_seconds":')[1:]] == ["3600", "1.5", "12345678", "0.1", "12345678.5", "1e-7", "1e+21"]
+    from feedloom.plans import jq
+
+    for columns in (True, False):
+        assert jq.apply(rows, ".", with_feed=False, columns=columns).first().value == value
+
+
 def test_operator_on_odd_rows(spark):
     docs = spark.createDataFrame([(0, 1, None, None, None, None), (1, 1, bytearray(js(id="1", title="t" * 100_000).encode()), SRC, None, None), (None, None, bytearray(b""), SRC, "text/html", 200)], "feed_idx int, page int, body binary, source_url string, content_type string, status int").selectExpr("*", "'x' as error")
     p = feeds.parse(docs)

@@ -11,7 +11,7 @@ import pytest
 
 from feedloom import cli
 from feedloom.plans.reader import FeedError, FeedJob, write_lines
-from feedloom.sources.http import Polite, Response, http_get, read_feed
+from feedloom.sources.http import Client, http_get, read_feed
 
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom">{}</feed>'
 
@@ -114,12 +114,65 @@ def test_early_stop(site):
     assert len(pages(site, "/f")) == 3
 
 
+class Reply:
+    def __init__(self, status=200, body=b"", **headers):
+        self.status, self.headers, self.body = status, headers, body
+
+    def read(self, n):
+        out, self.body = self.body[:n], self.body[n:]
+        return out
+
+
 def test_requests_to_a_host_keep_their_distance():
     times = []
-    get = Polite(lambda u: times.append(time.monotonic()) or Response(b"", u, "", 200), interval=0.2)
+
+    def transport(url, headers, seconds):
+        times.append(time.monotonic())
+        return Reply(302, Location="/moved") if url.endswith("/hop") else Reply()
+
+    get = Client(interval=0.2, transport=transport)
     for u in ("http://a.example/1", "http://A.example:80/2", "http://b.example/", "http://a.example./3"):
         get(u)
     assert times[1] - times[0] >= 0.19 and times[2] - times[1] < 0.15 and times[3] - times[1] >= 0.19
+    # a redirect is a request of its own
+    times.clear()
+    r = get("http://c.example/hop")
+    assert r.source_url == "http://c.example/moved" and times[1] - times[0] >= 0.19
+
+
+def test_the_whole_request_has_a_time():
+    class Slow(Reply):
+        def read(self, n):
+            time.sleep(0.1)
+            return b"x"
+
+    t = time.monotonic()
+    assert Client(timeout=0.3, transport=lambda *a: Slow())("http://a.example/").error == "NETWORK" and time.monotonic() - t < 1
+    r = Client(transport=lambda u, h, s: Reply(301, Location="/again"))("http://a.example/")
+    assert r.error == "NETWORK" and "redirects" in r.message
+    assert Client(transport=lambda u, h, s: Reply(301, Location="ftp://x/"))("http://a.example/").error == "INVALID_URL"
+
+
+def from_memory(url, headers, seconds):
+    return Reply(200, json.dumps({"version": "https://jsonfeed.org/version/1", "items": [{"id": url}]}).encode())
+
+
+def test_addresses_from_a_table(spark):
+    """With a transport of one's own, named so that the tasks can import it."""
+    import sys
+
+    sys.modules.setdefault("feedloom_test_transport", sys.modules[__name__])
+    table = spark.createDataFrame([(k, f"https://h{k % 5}.example/{k}") for k in range(20)] + [(20, None)], "feed_idx int, url string")
+    job = FeedJob(transport="feedloom.sources.http:open_once", at_once=3)
+    assert job._options()["transport"] == "feedloom.sources.http:open_once"
+    docs = job.fetch_table(table.where("url is null"), interval="0")
+    assert [(r.feed_idx, r.error) for r in docs.collect()] == [(20, "INVALID_URL")]
+    from feedloom.sources.http import FeedReader, documents
+
+    assert documents(table, {"atOnce": "3"}).rdd.getNumPartitions() == 3
+    parts = FeedReader({"urls": json.dumps([f"https://h{k % 5}.example/{k}" for k in range(20)]), "atOnce": "3"}).partitions()
+    hosts = [{u.split("/")[2] for _, u in p.feeds} for p in parts]
+    assert len(parts) == 3 and sum(map(len, hosts)) == 5 and sum(len(p.feeds) for p in parts) == 20
 
 
 def test_data_source_and_job(spark, site):
@@ -160,7 +213,7 @@ def run(argv, stdin="", **k):
 def test_command_line(spark, site):
     site.json("/a", {"id": "1", "title": "A", "date_published": "2024-01-15T00:00:00Z"}, {"id": "2"})
     assert run(["--version"])[0] == 0
-    for argv, message in (([], "address"), (["-r", "u"], "program"), (["--all", "--since", "2024-01-01", "u"], "--all"), (["--all", "--updated", "u"], "--updated"), (["--since", "x", "u"], "invalid time"), (["--max-pages", "0", "u"], "pages"), (["--jq", "[", "u"], "parse --jq")):
+    for argv, message in (([], "address"), (["-r", "u"], "program"), (["--all", "--since", "2024-01-01", "u"], "--all"), (["--all", "--updated", "u"], "--updated"), (["--since", "x", "u"], "is no time"), (["--max-pages", "0", "u"], "pages"), (["--jq", "[", "u"], "parse --jq")):
         code, out, err = run(argv)
         assert code == 1 and message in err and not out
     code, out, err = run(["--all", "--jq", ".title // .id", "-r", site.base + "/a"], stdin=f"\n {site.base}/a \n", spark=spark, interval="0")
@@ -170,6 +223,9 @@ def test_command_line(spark, site):
     assert code == 1 and "404" in err
     job = cli.job(cli.parser().parse_args(["u"]), now=dt.datetime(2024, 1, 8, tzinfo=dt.timezone.utc))
     assert job.since == dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    parsed = cli.parser().parse_args(["--since", "2024-06-01", "u"])
+    assert cli.job(parsed, zone="Asia/Tokyo").since == dt.datetime(2024, 5, 31, 15, tzinfo=dt.timezone.utc)
+    assert cli.job(parsed).since == dt.datetime(2024, 6, 1).astimezone()
 
 
 def test_streams(spark, tmp_path):
