@@ -53,6 +53,9 @@ def test_only_affected_partitions_are_written(spark):
     assert {r.item_row for r in store.winners().where("id = 'e1'").collect()} == {-1}
     store.vacuum()
     assert store.winners().count() == 41
+    # one bucket of the index is read for one key
+    report = store.merge(spark.createDataFrame([(200, 0, 9, "e5", None, "", "", 0)], SCHEMA))
+    assert len(report.buckets) == 1 and store.winners().count() == 41
 
 
 def test_repeats_ties_and_empty(spark):
@@ -69,18 +72,64 @@ def test_repeats_ties_and_empty(spark):
     assert keep_first(empty, entry_key(), "item_row").count() == 0
 
 
-def test_a_died_merge_changes_nothing(spark):
+def test_a_merge_that_died_anywhere_can_be_done_again(spark, monkeypatch):
+    """Killed after each of its writes in turn: readers see the old state, and the same batch then merges."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    store = DeliveryStore(spark, scratch_path(spark, "t"), entry_key(), "item_row", lambda col: col("batch_id"))
+    first = spark.createDataFrame([(k, 0, k % 3, f"e{k}", None, "", "", 0) for k in range(9)] + [(50, 0, 0, None, None, "", "", 0)], SCHEMA)
+    store.merge(first)
+    real, publish = DataFrameWriter.parquet, DeliveryStore._publish
+    for k in range(5):
+        batch = spark.createDataFrame([(-1 - k, 0, 1, "e1", None, "", "", 0), (100 + k, 0, 5, f"new{k}", None, "", "", 0), (200 + k, 0, 0, None, None, "", "", 0)], SCHEMA)
+        before = sorted(r.item_row for r in store.winners().collect())
+        done = []
+
+        def dying(self, path, *a, **o):
+            real(self, path, *a, **o)
+            done.append(path)
+            if len(done) > k:
+                raise OSError("gone")
+
+        def gone(self, m):
+            raise OSError("gone")
+
+        with monkeypatch.context() as mp:
+            mp.setattr(DataFrameWriter, "parquet", dying) if k < 4 else mp.setattr(DeliveryStore, "_publish", gone)
+            try:
+                store.merge(batch, ("s", k))
+                raise AssertionError("it should have died")
+            except OSError:
+                pass
+        again = DeliveryStore(spark, store.root, entry_key(), "item_row", lambda col: col("batch_id"))
+        assert sorted(r.item_row for r in again.winners().collect()) == before
+        again.merge(batch, ("s", k))
+        again.merge(batch, ("s", k))  # a batch that was merged changes nothing
+        rows = [r.item_row for r in again.winners().collect()]
+        assert sorted(rows) == sorted([x for x in before if x != min(b for b in before if b <= 1 and b != 0)] + [-1 - k, 100 + k, 200 + k])
+    folders = {s.getPath().getName() for s in store.fs.listStatus(store.fs_path(store.root)) if s.getPath().getName().startswith("v")}
+    store.vacuum()
+    left = {s.getPath().getName() for s in store.fs.listStatus(store.fs_path(store.root)) if s.getPath().getName().startswith("v")}
+    assert len(folders) == 11 and len(left) == 6  # the attempts that died are gone
+    assert sorted(r.item_row for r in store.winners().collect()) == sorted(rows)
+
+
+def test_the_second_writer_of_a_version_fails(spark):
+    import pytest
+
     store = DeliveryStore(spark, scratch_path(spark, "t"), entry_key(), "item_row", lambda col: col("batch_id"))
     store.merge(spark.createDataFrame([(1, 0, 0, "a", None, "", "", 0)], SCHEMA))
-    store._publish, real = (lambda m: (_ for _ in ()).throw(OSError("gone"))), store._publish
-    try:
-        store.merge(spark.createDataFrame([(0, 0, 0, "a", None, "", "", 0)], SCHEMA))
-    except OSError:
-        pass
-    assert [r.item_row for r in store.winners().collect()] == [1]
-    store._publish = real
-    again = DeliveryStore(spark, store.root, entry_key(), "item_row", lambda col: col("batch_id"))
-    assert [r.item_row for r in again.winners().collect()] == [1]
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(store._manifest())
+
+
+def test_many_merges_are_compacted(spark):
+    store = DeliveryStore(spark, scratch_path(spark, "t"), entry_key(), "item_row", lambda col: col("batch_id"), buckets=2)
+    for k in range(12):
+        store.merge(spark.createDataFrame([(k, 0, 0, f"e{k}", None, "", "", 0), (20 + k, 0, 0, "same", None, "", "", 0)], SCHEMA))
+    m = store._manifest()
+    assert all(len(d) <= 8 for d in m["index"].values()) and all(len(d) <= 9 for d in m["parts"].values())
+    assert sorted(r.item_row for r in store.winners().collect()) == [*range(12), 20]
 
 
 def test_hot_key_stays_small(spark):
