@@ -2,11 +2,12 @@
 
 Every text is reduced to a shape mask (digits to ``9``, letters to ``a``, everything else kept).  Each distinct
 mask is mapped to a parser once per worker; all texts of a mask are then converted together, by digit columns of
-a byte matrix.  Wall-clock times go through transition tables of their zone; the tables carry the version of
-the zone data they were made from.
+a byte matrix.  Wall-clock times go through transition tables of their zone.  The zone data is read once, on the driver, and
+goes to all workers with its version (``ZoneBook``), so no result hangs on what a worker's own system holds.
 
-Defined results: null, empty and over-long texts, shapes without a parser, impossible dates, values without a
+Defined results: null and empty texts, shapes without a parser, impossible dates, values without a
 time of day, wall-clock times that a clock change skips or repeats, and zoneless times of an unknown zone give null.
+Texts of any length are read; a zone's last rule holds for all later years.
 Seconds may be missing (0); digits finer than a microsecond are dropped; dates with dots put the day first;
 two-digit years are 20xx; integers of 9 or 10 digits count seconds, of 12 or 13 milliseconds.
 """
@@ -20,8 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Texts longer than this can't be a timestamp of any known shape.
-LONGEST = 64
 CANONICAL = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z")
 
 # English month and weekday names, and the zone abbreviations of RFC 2822 with UTC.
@@ -48,16 +47,24 @@ def mask_of(text: str) -> bytes:
 
 
 # Zone tables ---------------------------------------------------------------------------------------------
+#: The calendar with its weekdays repeats after 400 years, and with it what a zone's last rule gives.
+_CYCLE = 146097 * 86400
+#: Years a table spans: before the first no zone had changed its clock; the last 400 follow every zone's last rule.
+_FIRST, _LAST = 1800, 2440
+
+
 @dataclass(frozen=True)
 class ZoneTable:
-    """``starts[i]`` is the instant (seconds) from which ``offsets[i]`` holds."""
+    """``starts[i]`` is the instant (seconds) from which ``offsets[i]`` holds; from ``end`` on, what held one or more cycles before."""
 
     name: str
     version: str
     starts: np.ndarray
     offsets: np.ndarray
+    end: int
 
     def offset_at(self, utc: np.ndarray) -> np.ndarray:
+        utc = utc - np.maximum(0, -((self.end - utc) // _CYCLE)) * _CYCLE
         return self.offsets[np.maximum(np.searchsorted(self.starts, utc, side="right") - 1, 0)]
 
     def to_utc(self, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,57 +74,81 @@ class ZoneTable:
         return np.where(good_a, a, b), (good_a & good_b & (a == b)) | (good_a ^ good_b)
 
 
-def zone_data_version() -> str:
+def _zone_files() -> dict[str, bytes]:
+    """The system's zone files, or those of the package ``tzdata``."""
     import zoneinfo
+    from importlib import resources
     from pathlib import Path
 
-    for root in zoneinfo.TZPATH:
-        for name in ("+VERSION", "tzdata.zi"):
-            p = Path(root, name)
-            if p.exists():
-                return p.open().readline().strip().lstrip("# version").strip() or "system"
-    try:
-        import tzdata
-
-        return tzdata.IANA_VERSION
-    except ImportError:
-        return "system"
+    def read(name: str) -> bytes | None:
+        for root in zoneinfo.TZPATH:
+            if (p := Path(root, name)).is_file():
+                return p.read_bytes()
+        try:
+            return resources.files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
+        except (ImportError, OSError):
+            return None
+
+    got = ((n, read(n)) for n in sorted(zoneinfo.available_timezones()))
+    return {n: d for n, d in got if d}
+
+
+class ZoneBook:
+    """Zone data of one version: made on the driver, sent to the workers, where tables are made of it when a zone is first met.
+
+    ``version`` is a digest of the data itself, so equal versions mean equal tables on whatever machine.
+    """
+
+    def __init__(self, files: dict[str, bytes]):
+        import hashlib
+
+        self.files, self.tables = files, {}
+        h = hashlib.blake2b(digest_size=8)
+        for n in sorted(files):
+            h.update(n.encode() + b"\0" + len(files[n]).to_bytes(8, "big") + files[n])
+        self.version = h.hexdigest()
+
+    def __getstate__(self):
+        return {"files": self.files, "version": self.version, "tables": {}}
+
+    def table(self, name: str | None) -> ZoneTable | None:
+        """None for a name that is no zone."""
+        if name not in self.tables:
+            self.tables[name] = self._make(name) if name in self.files else None
+        return self.tables[name]
+
+    def _make(self, name: str) -> ZoneTable:
+        """Changes of offset, found by bisection between weeks."""
+        import datetime as dt
+        import io
+        import zoneinfo
+
+        z = zoneinfo.ZoneInfo.from_file(io.BytesIO(self.files[name]), key=name)
+        epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+        def off(s: int) -> int:
+            return int((epoch + dt.timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
+
+        t, end = (int((dt.datetime(y, 1, 1, tzinfo=dt.timezone.utc) - epoch).total_seconds()) for y in (_FIRST, _LAST))
+        starts, offsets = [-(2**62)], [off(t)]
+        while t < end:
+            u = min(t + 7 * 86400, end)
+            if off(u) != offsets[-1]:
+                a, b = t, u
+                while b - a > 1:
+                    mid = (a + b) // 2
+                    a, b = (a, mid) if off(mid) != offsets[-1] else (mid, b)
+                starts.append(b)
+                offsets.append(off(b))
+                u = b
+            t = u
+        return ZoneTable(name, self.version, np.array(starts, np.int64), np.array(offsets, np.int64), end)
 
 
-@lru_cache(maxsize=700)
-def zone_table(name: str, first_year: int = 1900, last_year: int = 2100) -> ZoneTable | None:
-    """The table of a zone, found by bisection between days; None for a name that is no zone."""
-    import datetime as dt
-    import zoneinfo
-
-    if not re.fullmatch(r"[A-Za-z0-9_+\-]+(/[A-Za-z0-9_+\-]+)*", name or ""):
-        return None
-    try:
-        z = zoneinfo.ZoneInfo(name)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
-        return None
-    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
-
-    def off(s: int) -> int:
-        return int((epoch + dt.timedelta(seconds=s)).astimezone(z).utcoffset().total_seconds())
-
-    lo = int((dt.datetime(first_year, 1, 1, tzinfo=dt.timezone.utc) - epoch).total_seconds())
-    hi = int((dt.datetime(last_year, 12, 31, tzinfo=dt.timezone.utc) - epoch).total_seconds())
-    starts, offsets, step = [-(2**62)], [off(lo)], 7 * 86400
-    t = lo
-    while t < hi:
-        u = min(t + step, hi)
-        if off(u) != offsets[-1]:
-            a, b = t, u
-            while b - a > 1:
-                mid = (a + b) // 2
-                a, b = (a, mid) if off(mid) != offsets[-1] else (mid, b)
-            starts.append(b)
-            offsets.append(off(b))
-            t = b
-        else:
-            t = u
-    return ZoneTable(name, zone_data_version(), np.array(starts, np.int64), np.array(offsets, np.int64))
+@lru_cache(maxsize=1)
+def zone_book() -> ZoneBook:
+    """The book of this machine's zone data; call it on the driver."""
+    return ZoneBook(_zone_files())
 
 
 # Shapes --------------------------------------------------------------------------------------------------
@@ -187,7 +218,7 @@ def _month_length(y: np.ndarray, m: np.ndarray) -> np.ndarray:
     return _LENGTHS[np.clip(m, 0, 12)] + (leap & (m == 2))
 
 
-def _convert(shape: Shape, texts: list[str], zones: list[str | None]) -> np.ndarray:
+def _convert(shape: Shape, texts: list[str], zones: list[str | None], book: ZoneBook) -> np.ndarray:
     """Microseconds of texts of one mask; the least int64 stands for none."""
     n = len(texts)
     raw = [t.encode("utf-8", "replace") for t in texts]
@@ -255,7 +286,7 @@ def _convert(shape: Shape, texts: list[str], zones: list[str | None]) -> np.ndar
             if z and z.lower() in ABBREVIATIONS:
                 utc[ix] = wall[ix] - ABBREVIATIONS[z.lower()]
                 continue
-            t = zone_table(z) if z and ("/" in z or not span) else None
+            t = book.table(z) if z and ("/" in z or not span) else None
             if t is None:
                 good[ix] = False
             else:
@@ -264,8 +295,9 @@ def _convert(shape: Shape, texts: list[str], zones: list[str | None]) -> np.ndar
     return np.where(good, utc * 1_000_000 + micros, none)
 
 
-def to_micros(texts: Iterable[str | None], zones: Iterable[str | None]) -> list[int | None]:
+def to_micros(texts: Iterable[str | None], zones: Iterable[str | None], book: ZoneBook | None = None) -> list[int | None]:
     """Instants of texts, in microseconds since 1970-01-01 UTC; ``zones`` are those of times without a zone."""
+    book = book or zone_book()
     texts, zones = list(texts), list(zones)
     out: list[int | None] = [None] * len(texts)
     by: dict[bytes, list[int]] = {}
@@ -273,26 +305,27 @@ def to_micros(texts: Iterable[str | None], zones: Iterable[str | None]) -> list[
         if t is None:
             continue
         t = t.strip()
-        if t and len(t) <= LONGEST:
+        if t:
             texts[i] = t
             by.setdefault(mask_of(t), []).append(i)
     for mask, at in by.items():
-        if shape := shape_of(mask):
-            got = _convert(shape, [texts[i] for i in at], [zones[i] for i in at])
+        # The memo is for the masks that recur; one of a long text isn't kept.
+        if shape := shape_of(mask) if len(mask) <= 80 else shape_of.__wrapped__(mask):
+            got = _convert(shape, [texts[i] for i in at], [zones[i] for i in at], book)
             for i, v in zip(at, got.tolist()):
                 out[i] = v if v != np.iinfo(np.int64).min else None
     return out
 
 
-def instants(batches: Iterator, fields: tuple[str, ...], zone: str, keep: str) -> Iterator:
-    """mapInArrow body: one row per field value that denotes one instant: ``keep``, field, epoch_us, already (written in the target form)."""
+def instants(batches: Iterator, fields: tuple[str, ...], zone: str, keep: str, book) -> Iterator:
+    """mapInArrow body: one row per field value that denotes one instant: ``keep``, field, epoch_us, already (written in the target form).  ``book`` is a broadcast ZoneBook."""
     import pyarrow as pa
 
     for b in batches:
         ids, zones = b.column(keep), b.column(zone).to_pylist()
         for f in fields:
             texts = b.column(f).to_pylist()
-            got = to_micros(texts, zones)
+            got = to_micros(texts, zones, book.value)
             at = [i for i, v in enumerate(got) if v is not None]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.timestamps import instants
+from feedloom.functions.timestamps import instants, zone_book
 
 #: Rows of the zone table up to which it is broadcast; beyond, Spark joins by shuffle.
 ZONES_BROADCAST = 100_000
@@ -26,4 +26,5 @@ def normalized(rows: DataFrame, feeds: DataFrame, row_id: str, fields: tuple[str
     slim = rows.select(row_id, scope, *fields).where(" or ".join(f"`{f}` <> ''" for f in fields))
     joined = slim.join(zones, F.col(scope) == F.col("__scope"), "left").select(row_id, *fields, "__zone")
     kind = rows.schema[row_id].dataType.simpleString()
-    return joined.mapInArrow(partial(instants, fields=fields, zone="__zone", keep=row_id), f"`{row_id}` {kind}, field string, epoch_us bigint, already boolean")
+    book = rows.sparkSession.sparkContext.broadcast(zone_book())  # under 1 MB, of one version for all workers
+    return joined.mapInArrow(partial(instants, fields=fields, zone="__zone", keep=row_id, book=book), f"`{row_id}` {kind}, field string, epoch_us bigint, already boolean")

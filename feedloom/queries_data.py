@@ -50,7 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.nodes(_occ(spark, d)).select("child", F.hex("node").alias("node"), "canon", "occurrences")
+    return flatten.nodes(_occ(spark, d)).select(F.hex("node").alias("node"), "canon", "occurrences")
 
 
 def _p7_table(name: str):

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from feedloom.functions import dates
-from feedloom.functions.timestamps import mask_of, shape_of, to_micros, zone_table
+from feedloom.functions.timestamps import ZoneBook, mask_of, shape_of, to_micros, zone_book
 from feedloom.operators.instants import normalized
 
 ZONES = ["Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Sydney", "Asia/Tokyo", "UTC"]
@@ -65,7 +65,29 @@ def test_no_instant():
 def test_masks_map_to_parsers_once():
     assert mask_of("March 9, 2025 1:51 PM") == b"aaaaa 9, 9999 9:99 mm"
     assert shape_of(mask_of("2025-01-01T00:00:00Z")) is shape_of(mask_of("1999-12-31T23:59:59Z"))
-    assert zone_table("Europe/Berlin").version and zone_table("../etc/passwd") is None
+
+
+def test_zone_data_travels_with_its_version():
+    import pickle
+
+    book = zone_book()
+    assert book.table("../etc/passwd") is None and book.table(None) is None
+    there = pickle.loads(pickle.dumps(book))
+    assert there.version == book.version == there.table("Europe/Berlin").version
+    assert ZoneBook({**book.files, "Europe/Berlin": book.files["Asia/Tokyo"]}).version != book.version
+    # what decides is the book, not the machine
+    other = ZoneBook({"Europe/Berlin": book.files["Asia/Tokyo"]})
+    assert to_micros(["2025-03-09 13:51:00"], ["Europe/Berlin"], other) == to_micros(["2025-03-09 13:51:00"], ["Asia/Tokyo"])
+
+
+def test_years_far_off_and_long_texts():
+    for y in (1830, 2101, 2460, 2950, 9000):
+        for m in (1, 7):
+            for zone in ("Europe/Berlin", "Australia/Sydney", "America/New_York"):
+                want = micros(dt.datetime(y, m, 1, 12, tzinfo=ZoneInfo(zone)).astimezone(dt.timezone.utc))
+                assert one(f"{y}-{m:02d}-01 12:00:00", zone) == want
+    assert one("2025-03-09T13:51:00." + "1" * 500 + "Z") == one("2025-03-09T13:51:00.111111Z")
+    assert one(" " * 300 + "2025-03-09T13:51:00Z" + "\n" * 300) == one("2025-03-09T13:51:00Z")
 
 
 def test_operator(spark):
