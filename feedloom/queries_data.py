@@ -55,7 +55,8 @@ def p7_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def _p7_table(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return flatten.flat_tables(_occ(spark, d))[name]
+        t = flatten.flat_tables(_occ(spark, d))[name].drop("node")
+        return t.drop("child_pos") if name == "items" else t
 
     return run
 
@@ -85,6 +86,7 @@ QUERIES = {
     "p7_item_attachments": p7_item_attachments,
 }
 
+_ITEM_TEXTS = "id url external_url title content_html content_text summary image banner_image date_published date_modified".split()
 _IDENT = "coalesce(nullif(id, ''), nullif(url, ''))"
 
 
@@ -95,7 +97,34 @@ from (select item_row, {name} as a, unnest(range(1, len({name}) + 1)) as i from
 where a[i] is not null"""
 
 
+# The objects in the bodies of feed_pages, in SQL: text of the body, a byte-order mark aside, then items, then their members' elements.
+_BODIES = """with t as (select page_row, try(decode(case when hex(body) like 'EFBBBF%' then body[4:] else body end)) as s from feed_pages where body is not null),
+j as (select page_row, cast(s as json) as j from t where coalesce(json_valid(s), false) and json_type(s) = 'OBJECT'),
+i as (select page_row, cast(k as integer) as item_pos, json_extract(j, '$.items[' || k || ']') as it
+  from (select page_row, j, unnest(range(cast(json_array_length(j, '$.items') as bigint))) as k from j where json_type(j, '$.items') = 'ARRAY')),
+o as (select * from i where json_type(it) = 'OBJECT' and cast(it as varchar) <> '{}'),
+m as (select page_row, item_pos, 'tag' as child, it -> '$.tags' as v from o union all select page_row, item_pos, 'attachment', it -> '$.attachments' from o
+  union all select page_row, item_pos, 'authors', it -> '$.authors' from o union all select page_row, item_pos, 'author', it -> '$.author' from o),
+e as (select page_row, item_pos, child, cast(k as integer) as child_pos, json_extract(v, '$[' || k || ']') as v
+    from (select *, unnest(range(cast(json_array_length(v) as bigint))) as k from m where json_type(v) = 'ARRAY')
+  union all select page_row, item_pos, child, 0, v from m where v is not null and json_type(v) <> 'ARRAY'),
+f as (select * from e where cast(v as varchar) not in ('null', '""', '{}', '[]')),
+c as (select page_row, item_pos, case child when 'authors' then 'author' else child end as child, child_pos, v from f x
+  where child <> 'author' or not exists (select 1 from f y where y.child = 'authors' and y.page_row = x.page_row and y.item_pos = x.item_pos))
+"""
+
+
+def _field(name: str, of: str = "v") -> str:
+    return f"case when json_type({of}, '$.{name}') <> 'NULL' then {of} ->> '$.{name}' end as {name}"
+
+
 SQL = {
+    "p7_found": f"{_BODIES} select page_row, item_pos, child, child_pos from c",
+    "p7_items": f"{_BODIES} select page_row, item_pos, {', '.join(_field(n, 'it') for n in _ITEM_TEXTS)} from o",
+    "p7_authors": f"{_BODIES} select page_row, item_pos, child_pos, case when json_type(v) = 'VARCHAR' then v ->> '$' else v ->> '$.name' end as name, {_field('url')}, {_field('avatar')} from c where child = 'author'",
+    "p7_tags": f"{_BODIES} select page_row, item_pos, child_pos, v ->> '$' as tag from c where child = 'tag'",
+    "p7_attachments": f"""{_BODIES} select page_row, item_pos, child_pos, case when json_type(v) = 'VARCHAR' then v ->> '$' else v ->> '$.url' end as url, {_field('mime_type')}, {_field('title')},
+  try_cast(v ->> '$.size_in_bytes' as bigint) as size_in_bytes, try_cast(v ->> '$.duration_in_seconds' as double) as duration_in_seconds from c where child = 'attachment'""",
     "p1_found": f"""
 select item_row from (select item_row, {_IDENT} as k, min(item_row) over (partition by feed_idx, {_IDENT}) as first from items)
 where k is not null and item_row <> first""",

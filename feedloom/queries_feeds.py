@@ -17,6 +17,12 @@ from feedloom.streaming import feeds as streams
 UTC = dt.timezone.utc
 SINCE, UNTIL = dt.datetime(2024, 1, 10, tzinfo=UTC), dt.datetime(2024, 1, 20, tzinfo=UTC)
 
+
+
+def _list_sql(texts) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in texts) + "]"
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -313,6 +319,77 @@ def discover_base(spark, d):
     return feeds.links(found, "source_url").select(F.col("source_url").alias("page_url"), "url")
 
 
+@query("display_url", "select link_row, page_url as shown from links where page_url is not null")
+def display_url(spark, d):
+    """User information is never shown."""
+    u = urls.columns()
+    return table(spark, d, "links").where("page_url is not null").select("link_row", u["display_url"](F.regexp_replace("page_url", "://", "://me:secret@")).alias("shown"))
+
+
+@query("discover_breakout", _FOUND)
+def discover_breakout(spark, d):
+    """A paragraph leaves the drawing, so the links behind it count."""
+    found = feeds.discover(corpus.html_pages(table(spark, d, "links"), wrap=("<svg><g><p>", "")))
+    return feeds.links(found, "source_url").select(F.col("source_url").alias("page_url"), "url", "title", "type")
+
+
+@query("discover_integration", _FOUND)
+def discover_integration(spark, d):
+    """HTML inside MathML inside SVG; void elements and end tags without their element change nothing."""
+    found = feeds.discover(corpus.html_pages(table(spark, d, "links"), wrap=("<svg><foreignObject><br></x><math><mtext>", "</mtext></math></foreignObject></svg>")))
+    return feeds.links(found, "source_url").select(F.col("source_url").alias("page_url"), "url", "title", "type")
+
+
+@query("discover_xhtml", _FOUND)
+def discover_xhtml(spark, d):
+    """The same links on strict XHTML pages."""
+    found = feeds.discover(corpus.xhtml_pages(table(spark, d, "links")))
+    return feeds.links(found, "source_url").select(F.col("source_url").alias("page_url"), "url", "title", "type")
+
+
+@query("discover_rel_type", "select link_row, link_row % 6 in (0, 2, 3) as found from links")
+def discover_rel_type(spark, d):
+    """Relations and media types, one page for each row."""
+    tags = ['rel="me FEED"', 'rel="stylesheet"', 'rel="alternate" type="Application/RSS+xml; charset=x"', 'rel="alternate" type="text/xml"', 'rel="alternate" type="text/html"', 'rel="alternates"']
+    l = table(spark, d, "links").select("link_row")
+    tag = F.element_at(F.array(*map(F.lit, tags)), (F.col("link_row") % len(tags) + 1).cast("int"))
+    pages = l.select("link_row", F.concat(F.lit("<html><link "), tag, F.lit(' href="/x"></html>')).cast("binary").alias("body"), F.lit("https://harbour.example/log/").alias("source_url"), F.lit("text/html").alias("content_type"))
+    return feeds.discover(pages).select("link_row", (F.size("links") > 0).alias("found"))
+
+
+@query("discover_errors", "select link_row, case link_row % 4 when 0 then 'TOO_DEEP' when 1 then 'DISCOVERY' when 2 then 'INVALID_URL' end as error from links")
+def discover_errors(spark, d):
+    k = F.col("link_row") % 4
+    body = F.when(k == 0, F.repeat(F.lit("<template>"), 513)).when(k == 1, F.lit("<html xmlns='http://www.w3.org/1999/xhtml'>")).otherwise(F.lit("<html>"))
+    pages = table(spark, d, "links").select("link_row", body.cast("binary").alias("body"), F.when(k == 2, F.lit("ftp://x.example/")).otherwise(F.lit("https://x.example/")).alias("source_url"), F.when(k == 1, "application/xhtml+xml").otherwise("text/html").alias("content_type"))
+    return feeds.discover(pages).select("link_row", "error")
+
+
+@query("next_atom", f"{_PAGES} select feed_idx, page, case when page < max(page) over (partition by feed_idx) then 'https://u' || feed_idx || '.example/feed?page=' || page + 1 end as next_url from g")
+def next_atom(spark, d):
+    """The next page as an Atom link in an RSS channel; fragments go."""
+    p = corpus.rss_pages(corpus.entries(spark, d), linked=True)
+    return feeds.parse(p).select("feed_idx", "page", "parsed.next_url")
+
+
+@query("wordpress_pages", f"{_EV} select distinct feed_idx, page, 'https://u' || feed_idx || '.example/feed?a=%26&paged=' || page + 1 as next_url, true as counts from j where coalesce(raw_id, url) is not null")
+def wordpress_pages(spark, d):
+    """Addresses made by counting up, of feeds whose generator says so."""
+    import pyarrow as pa
+
+    def following(page: pa.Array, source: pa.Array) -> pa.Array:
+        return pa.array([urls.next_wordpress(f"{s.split('?')[0]}?paged={p}&a=%26", p) for p, s in zip(page.to_pylist(), source.to_pylist())], pa.string())
+
+    following.__annotations__ = {"page": pa.Array, "source": pa.Array, "return": pa.Array}
+
+    def counts(generator: pa.Array) -> pa.Array:
+        return pa.array(list(map(urls.is_wordpress, generator.to_pylist())), pa.bool_())
+
+    counts.__annotations__ = {"generator": pa.Array, "return": pa.Array}
+    parsed = feeds.parse(corpus.rss_pages(corpus.entries(spark, d), linked=True)).where(F.size("parsed.items") > 0)
+    return parsed.select("feed_idx", "page", F.arrow_udf(following, "string")("page", "source_url").alias("next_url"), F.arrow_udf(counts, "boolean")("parsed.generator").alias("counts"))
+
+
 _HINTS = ["/blog/feed/", "/rss", "/blog-rss", "/index.XML", "/feedback", "/newsfeed", "/anatomy", "/RSSReader", "/updates"]
 
 
@@ -382,7 +459,17 @@ def error_classes(spark, d):
     return feeds.errors(feeds.parse(_broken(spark, d))).select("feed_idx", "page", "error")
 
 
-@query("page_errors")
+# A body that is a JSON Feed: an object of a known version whose members, where they are given, have the right types.
+_GOOD = """with t as (select *, try(decode(case when hex(body) like 'EFBBBF%' then body[4:] else body end)) as s from feed_pages),
+j as (select *, cast(case when coalesce(json_valid(s), false) and json_type(s) = 'OBJECT' then s end as json) as j from t),
+n as (select page_row, bool_or(coalesce(json_type(it), 'NULL') not in ('OBJECT', 'NULL') {types}) as wrong
+  from (select page_row, json_extract(j, '$.items[' || k || ']') as it from (select page_row, j, unnest(range(cast(json_array_length(j, '$.items') as bigint))) as k from j where json_type(j, '$.items') = 'ARRAY')) group by page_row),
+g as (select j.*, case when status not between 200 and 299 then 'HTTP_STATUS' when not regexp_matches(coalesce(source_url, ''), '^https?://[^/?#@]+([/?#]|$)') then 'INVALID_URL'
+  when coalesce(j ->> '$.version', '') in ('https://jsonfeed.org/version/1', 'https://jsonfeed.org/version/1.1') and coalesce(json_type(j, '$.items'), 'NULL') in ('ARRAY', 'NULL') and not coalesce(wrong, false) then 'OK' else 'NOT_FEED' end as outcome from j left join n using (page_row))
+""".format(types="".join(f" or coalesce(json_type(it, '$.{m}'), 'NULL') not in ('VARCHAR', 'NULL')" for m in "id url external_url title content_html content_text summary image banner_image date_published date_modified".split()) + " or coalesce(json_type(it, '$.tags'), 'NULL') not in ('ARRAY', 'NULL') or coalesce(json_type(it, '$.attachments'), 'NULL') not in ('ARRAY', 'NULL') or coalesce(json_type(it, '$.authors'), 'NULL') not in ('ARRAY', 'NULL') or coalesce(json_type(it, '$.author'), 'NULL') not in ('OBJECT', 'NULL')")
+
+
+@query("page_errors", f"{_GOOD} select page_row, outcome from g where body is not null or status not between 200 and 299")
 def page_errors(spark, d):
     """Delivered pages by what reading them gives; failed pages keep their status."""
     docs = table(spark, d, "feed_pages").where("body is not null or status not between 200 and 299").select("feed_idx", "page", "page_row", "body", "source_url", "content_type", "status")
@@ -418,6 +505,38 @@ _jq("jq_feed", "._feed.title", "0 as out_pos, '\"Feed ' || feed_idx || '\"' as v
 _jq("jq_interpreted", "[.tags[] | ascii_upcase] + [.id] | join(\"-\")", "0 as out_pos, '\"' || upper(title) || '-' || id || '\"' as value from j")
 _jq("jq_reduce", "reduce (.attachments // [])[] as $a (0; . + ($a.size_in_bytes // 0))", "0 as out_pos, case when att = 1 then cast(event_id * 10 as varchar) else '0' end as value from j")
 
+_DURATIONS = ("3600", "1.5", "12345678", "0.1", "12345678.25", "1e-7")
+
+
+def _long(spark, d) -> DataFrame:
+    """The entries with durations of several sizes, in the order of the events."""
+    k = F.array(*(F.lit(float(x)) for x in _DURATIONS))
+    e = corpus.entries(spark, d)
+    sized = F.transform("attachments", lambda a: a.withField("duration_in_seconds", F.element_at(k, (F.col("event_id") % len(_DURATIONS) + 1).cast("int"))))
+    return feeds.items(feeds.parse(corpus.json_pages(e.withColumn("attachments", sized))))
+
+
+_IDENTITY = f"""'{{"attachments":[{{"duration_in_seconds":' || {_list_sql(_DURATIONS)}[event_id % {len(_DURATIONS)} + 1] || ',"mime_type":"audio/mpeg",' || case att when 1 then '"size_in_bytes":' || event_id * 10 || ',' else '' end || '"url":"https://m.example/' || event_id || '"}}],'"""
+_TAIL = """ || '"authors":[{"name":"user ' || feed_idx || '"}],' || coalesce('"date_modified":"' || date_modified || '",', '') || coalesce('"date_published":"' || date_published || '",', '')
+ || '"id":"' || id || '","tags":["' || title || '"],"title":"' || title || '"' || coalesce(',"url":"' || url || '"', '') || '}'"""
+
+
+@query("jq_identity", f"{_EV} select feed_idx, page, pos, {_IDENTITY}{_TAIL} as value from j where att > 0")
+def jq_identity(spark, d):
+    """Numbers of all sizes, whole ones without a fraction, through the program ``.``."""
+    return jq.apply(_long(spark, d).where("attachments is not null"), ".", with_feed=False).select("feed_idx", "page", "pos", "value")
+
+
+@query("output_numbers", f"{_EV} select feed_idx, page, pos, {_IDENTITY}{_TAIL} as value from j where att > 0")
+def output_numbers(spark, d):
+    return feeds.as_output(_long(spark, d).where("attachments is not null"))
+
+
+@query("jq_has", f"{_EV} select feed_idx, page, pos, case when url is null then 'false' else 'true' end as value from j")
+def jq_has(spark, d):
+    return jq.apply(_json(spark, d), 'has("url")').select("feed_idx", "page", "pos", "value")
+
+
 _OUT = """'{' || coalesce('"attachments":[{' || case att when 1 then '"duration_in_seconds":1.5,' else '' end || '"mime_type":"audio/mpeg",' || case att when 1 then '"size_in_bytes":' || event_id * 10 || ',' else '' end || case when att > 0 then '"url":"https://m.example/' || event_id || '"}],' end, '')
  || '"authors":[{"name":"user ' || feed_idx || '"}],' || coalesce('"date_modified":"' || date_modified || '",', '') || coalesce('"date_published":"' || date_published || '",', '')
  || '"id":"' || id || '","tags":["' || title || '"],"title":"' || title || '"' || coalesce(',"url":"' || url || '"', '') || '}'"""
@@ -448,14 +567,39 @@ def feed_order(spark, d):
     return kept.join(F.broadcast(sizes.select("part", "before")), "part").select("id", (F.col("before") + F.col("own") + 1).alias("line"))
 
 
-@query("read_feeds")
+_RFC = "case when regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.,][0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})') then epoch_us(try_cast(replace({0}, ',', '.') as timestamptz)) end"
+_FLOOR, _CEIL = "epoch_us(timestamp '2023-09-01')", "epoch_us(timestamp '2025-09-01')"
+
+
+def _fold_sql(c: str) -> str:
+    return f"bool_and({c} is null or p{c} is null or {c} <= p{c}) over w and count({c}) over w >= 5 and coalesce(last_value({c} ignore nulls) over w < {_FLOOR}, false)"
+
+
+@query(
+    "read_feeds",
+    f"""{_GOOD},
+p as (select feed_idx, batch_id as crawl, page, j from g where outcome = 'OK' and body is not null and page <= 10),
+i as (select feed_idx, crawl, page, cast(k as integer) as pos, json_extract(j, '$.items[' || k || ']') as it from (select *, unnest(range(cast(json_array_length(j, '$.items') as bigint))) as k from p where json_type(j, '$.items') = 'ARRAY')),
+r as (select feed_idx, crawl, page, pos, coalesce(nullif(it ->> '$.id', ''), nullif(it ->> '$.url', '')) as id, nullif(it ->> '$.url', '') as url, nullif(it ->> '$.title', '') as title, {_RFC.format("(it ->> '$.date_published')")} as tp, {_RFC.format("(it ->> '$.date_modified')")} as tm from i),
+x as (select *, coalesce(tp, tm) as a, coalesce(tm, tp) as b from r),
+y as (select *, lag(a ignore nulls) over o as pa, lag(b ignore nulls) over o as pb from x window o as (partition by feed_idx, crawl order by page, pos)),
+z as (select *, {_fold_sql("a")} as da, {_fold_sql("b")} as db, bool_and(not coalesce(tp > tm, false)) over w as bound, row_number() over (partition by feed_idx, crawl, page order by pos desc) = 1 as fin
+  from y window w as (partition by feed_idx, crawl order by page, pos rows unbounded preceding)),
+s as (select feed_idx, crawl, min(page) as stop_page from z where fin and (da or (bound and db)) group by feed_idx, crawl),
+k as (select x.* from x left join s using (feed_idx, crawl) where page <= coalesce(stop_page, 10) qualify row_number() over (partition by x.feed_idx, x.crawl, coalesce(id, page || '-' || pos) order by page, pos) = 1)
+select feed_idx, crawl, page, pos, id, url, title, tp as published_us from k where coalesce(tp, tm) >= {_FLOOR} and coalesce(tp, tm) < {_CEIL}""",
+)
 def read_feeds(spark, d):
-    """The whole job on the delivered JSON pages: parse, early stop, first occurrences, period, output."""
+    """The whole job on the delivered JSON pages, each delivery batch a crawl of its own: parse, early stop, first occurrences, period, output.  The fields are read from the lines it writes."""
     from feedloom.plans.reader import FeedJob
 
     job = FeedJob(since="2023-09-01", until="2025-09-01")
-    docs = table(spark, d, "feed_pages").where("body is not null and status between 200 and 299").select("feed_idx", "page", "body", "source_url", "content_type")
-    return job.lines(job.from_documents(docs)).select("feed_idx", "page", "pos", "value")
+    docs = table(spark, d, "feed_pages").where("body is not null and status between 200 and 299").select("feed_idx", F.col("batch_id").alias("crawl"), "page", "body", "source_url", "content_type")
+    made = F.col("value")
+    ident = F.get_json_object(made, "$.id")
+    return job.lines(job.from_documents(docs)).select(
+        "feed_idx", "crawl", "page", "pos", F.when(~ident.startswith("urn:sha256:"), ident).alias("id"), *(F.get_json_object(made, f"$.{c}").alias(c) for c in ("url", "title")), F.unix_micros(dates.instant(F.get_json_object(made, "$.date_published"))).alias("published_us")
+    )
 
 
 # Streaming ------------------------------------------------------------------------------------------------------------------

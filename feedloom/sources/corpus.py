@@ -80,11 +80,18 @@ def _enclosure() -> Column:
     return F.when(F.col("attachments").isNotNull(), F.concat(F.lit('<enclosure url="'), a["url"], F.lit('" type="'), a["mime_type"], F.lit('" length="'), a["size_in_bytes"], F.lit('"/>'))).otherwise("")
 
 
-def rss_pages(rows: DataFrame) -> DataFrame:
+def rss_pages(rows: DataFrame, linked: bool = False) -> DataFrame:
+    """``linked``: with a generator, and Atom links to the next page."""
     item = F.concat(F.lit("<item>"), _tag("guid", "id"), _tag("link", "url"), _tag("title", "title"), _tag("pubDate", _rfc1123("date_published")), _tag("category", "title"), _enclosure(), F.lit("</item>"))
     p = _pages(rows, item)
     head = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed '), "feed_idx", F.lit("</title><link>/</link><managingEditor>user "), "feed_idx", F.lit("</managingEditor>"))
-    return p.select("feed_idx", "page", F.concat(head, F.array_join("list", ""), F.lit("</channel></rss>")).cast("binary").alias("body"), _address().alias("source_url"), F.lit("application/rss+xml").alias("content_type"))
+    more = F.lit("")
+    if linked:
+        last = F.max("page").over(Window.partitionBy("feed_idx"))
+        link = F.when(F.col("page") < last, F.concat(F.lit('<l:link xmlns:l="http://www.w3.org/2005/Atom" rel="self NEXT" href="?page='), F.col("page") + 1, F.lit('#top"/>'))).otherwise("")
+        p = p.withColumn("more", F.concat(F.lit("<generator>https://wordpress.org/?v=6</generator>"), link))
+        more = F.col("more")
+    return p.select("feed_idx", "page", F.concat(head, more, F.array_join("list", ""), F.lit("</channel></rss>")).cast("binary").alias("body"), _address().alias("source_url"), F.lit("application/rss+xml").alias("content_type"))
 
 
 def _rfc1123(c: str) -> Column:
@@ -117,3 +124,11 @@ def html_pages(links: DataFrame, before: Column | None = None, wrap: tuple[str,
     head = F.coalesce(before, F.lit("")) if before is not None else F.lit("")
     body = F.concat(F.lit("<!DOCTYPE html><html><head>"), head, F.lit(wrap[0]), F.array_join(F.transform("list", lambda x: x["entry"]), ""), F.lit(wrap[1]), F.lit("</head><body></body></html>"))
     return p.select(body.cast("binary").alias("body"), F.col("page_url").alias("source_url"), F.lit("text/html").alias("content_type"))
+
+
+def xhtml_pages(links: DataFrame) -> DataFrame:
+    """The same as XHTML; what only looks like a link stands in another namespace."""
+    one = F.concat(F.lit('<h:link rel="alternate" href="'), esc("url"), F.lit('"'), F.coalesce(F.concat(F.lit(' title="'), esc("title"), F.lit('"')), F.lit("")), F.coalesce(F.concat(F.lit(' type="'), esc("link_type"), F.lit('"')), F.lit("")), F.lit("/>"))
+    p = links.groupBy("page_url").agg(F.array_sort(F.collect_list(F.struct("pos", "link_row", one.alias("entry")))).alias("list"))
+    body = F.concat(F.lit('<?xml version="1.0"?><h:html xmlns:h="http://www.w3.org/1999/xhtml"><h:head><link rel="feed" href="/no"/>'), F.array_join(F.transform("list", lambda x: x["entry"]), ""), F.lit("</h:head></h:html>"))
+    return p.select(body.cast("binary").alias("body"), F.col("page_url").alias("source_url"), F.lit("application/xhtml+xml").alias("content_type"))
