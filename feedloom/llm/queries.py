@@ -13,6 +13,10 @@ def _truncated(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "items"), "item_row", ("summary", "content_text"))
 
 
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.method_judged(table(spark, d, "items"), "item_row", ("summary", "content_text")).where("truncated").select("item_row", "field")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _truncated(spark, d).where("truncated").select("item_row", "field")
 
@@ -91,6 +95,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_method": p3_method,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,

@@ -38,31 +38,60 @@ def corpus(seed, n=1500):
     return [(whole(rng), False) if rng.random() < 0.85 else (cut(rng), True) for _ in range(n)]
 
 
-@pytest.fixture(scope="module")
-def model():
+def learned(values):
     seen = Counter()
-    for v, _ in corpus(1):
+    for v in values:
         t.learn(v, seen)
     out = {}
     for (k, done), n in seen.items():
         out.setdefault(k, [0, 0])[0 if done else 1] += n
-    return {k: tuple(v) for k, v in out.items() if sum(v) >= t.LEAST_COUNT}
+    return out
+
+
+@pytest.fixture(scope="module")
+def model():
+    return learned(v for v, _ in corpus(1))
+
+
+def judge(value, model):
+    """The answer that the join gives, by brute force."""
+    verdict, asked = t.examine(value)
+    if asked is None:
+        return verdict
+    hits = [(n, fine, *model[k]) for n, fine, k in t.questions(asked) if k in model]
+    if asked[0] == "n":
+        numbers, such = (sum(y for n, _, y, _ in hits if n == k) for k in (1, 2))
+        return "cut" if numbers >= t.NUMBERS and such <= numbers * t.RARE else "whole"
+    best = max((h for h in hits if h[2] + h[3] >= t.LEAST_COUNT), default=None)
+    if asked[0] == "b":
+        return "whole" if best and best[2] / (best[2] + best[3]) < 0.05 and best[0] >= 4 and best[1] else "cut"
+    return "open" if best is None else "cut" if best[2] / (best[2] + best[3]) >= t.CUT_FROM else "whole"
 
 
 def test_held_out_accuracy(model):
-    got = [(t.judge(v, model) == "cut", y) for v, y in corpus(2)]
+    got = [(judge(v, model) == "cut", y) for v, y in corpus(2)]
     hit = sum(a and b for a, b in got)
     assert hit / sum(a for a, _ in got) > 0.97 and hit / sum(b for _, b in got) > 0.97
 
 
+def test_the_join_answers_like_brute_force(spark, model):
+    values = [v for v, _ in corpus(4, 300)] * 2 + ["It needs 12.", "It lasts 3.", "x" * 100_000, "A b"]
+    got = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = spark.createDataFrame([(v, "T") for v, _ in corpus(1)] + [(None, None), ("", "")], "v string, title string")
+    asked = {a for v in values if (a := t.examine(v)[1])}
+    asks = spark.createDataFrame([(a,) for a in asked] * 2, "asked string")
+    said = {r.asked: r.answer for r in t.answers(asks, t.known(rows, ("v",))).collect()}
+    assert said == {a: judge(v, model) for v in values if (a := t.examine(v)[1])} and got.count() == len(values)
+
+
 @pytest.mark.parametrize("value", ["One sentence ends. The next wor…", "It stopped here […]", "He said “and then", "A list (of things", "<p>Text and <a hre", "Broken at the end�", "One thing, and another,", "One sentence. And half &am"])
 def test_structure_alone(value):
-    assert t.judge(value, {}) == "cut"
+    assert judge(value, {}) == "cut"
 
 
 @pytest.mark.parametrize("value", [None, "", "  \n", "All is said.", "<p>All is said.</p>", "„Alles gesagt.“", "終わりました。", "Read. https://x.example/a", "Done.\n— Ana Petrov", "Done. 🎧", "Done.\n#tag #other", "Done.\n(Name)", "Is it?", "Done. **Bold heading**"])
 def test_whole(value):
-    assert t.judge(value, {}) in ("whole", "closing")
+    assert judge(value, {}) in ("whole", "closing")
 
 
 def test_operator(spark):
@@ -76,16 +105,22 @@ def test_operator(spark):
     rate = {(r.feed_idx, r.field): r.share for r in t.rates(t.judged(df, "item_row", ("summary",))).collect()}
     assert set(rate) == {(0, "summary"), (1, "summary"), (2, "summary"), (None, "summary")}
     assert t.judged(df.limit(0), "item_row", ("summary",)).count() == 0
+    # the method alone finds what structure shows, and leaves a source's unterminated phrases to its baseline
+    alone = {(r.item_row, r.field): r.truncated for r in t.method_judged(df, "item_row", ("summary", "content_text")).collect()}
+    assert set(alone) == set(got) and all(alone[k] for k in got if k[0] < 1000 and t.examine(corpus(3, 400)[k[0]][0])[0] == "cut")
+    ends = spark.createDataFrame([(k, 0, "All is said." if k else "And then it") for k in range(10)], "item_row bigint, feed_idx int, summary string")
+    assert [r.item_row for r in t.method_judged(ends, "item_row", ("summary",)).where("truncated").collect()] == [0]
+    assert t.method_judged(df.limit(0), "item_row", ("summary",)).count() == 0
 
 
 @pytest.mark.parametrize(
     "value",
-    ["<p>One <b>is bold. Two is not.", "<div><p>All of this is said.</p>", "He left (it was late. Nobody saw.", "See [the list. It is long.", "The escape is \\u00e", "The path is https://x.example/a%E3%8", "One „begins. " + "And so on. " * 500, "Said «once. " + "And so on. " * 500],
+    ["<p>One <b>is bold. Two is not.", "<div><p>All of this is said.</p>", "He left (it was late. Nobody saw.", "See [the list. It is long.", "The escape is \\u00e", "The path is https://x.example/a%E3%8", "One „begins. " + "And so on. " * 500, "Said «once. " + "And so on. " * 500, 'He said "we are going. And then.', '"It is late. And so on.', 'He said ("it is" and more. It ends.'],
 )
 def test_what_stays_open_is_cut(value):
-    assert t.judge(value, {}) == "cut"
+    assert judge(value, {}) == "cut"
 
 
-@pytest.mark.parametrize("value", ["<p>One <b>is</b> bold.", "<ul><li>One.<li>Two.</ul>", "Fine :( All is said.", "He left (late). All is said.", "a) One is said.", "Up by 5 %.", "One (open here\nbut done there.", "(One <b>is</b> said.) All is.", "x <y and 3 < 4. Done."])
+@pytest.mark.parametrize("value", ["<p>One <b>is</b> bold.", "<ul><li>One.<li>Two.</ul>", "Fine :( All is said.", "He left (late). All is said.", "a) One is said.", "Up by 5 %.", "One (open here\nbut done there.", "(One <b>is</b> said.) All is.", "x <y and 3 < 4. Done.", 'A 5" pipe. Done.', 'He said "it is late". All is said.', '"It is late," he said.', 'One "open here\nbut done there.', "It is 5' 11\" tall. Done."])
 def test_what_is_closed_is_whole(value):
-    assert t.judge(value, {}) in ("whole", "closing")
+    assert judge(value, {}) in ("whole", "closing")
