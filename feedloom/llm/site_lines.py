@@ -1,9 +1,9 @@
 """Lines of the site itself that recur across one source's documents.
 
-1. Every line's text is masked (numbers, dates, names) and hashed; MinHash bands of its masked five-word
-   shingles are computed for whole Arrow batches.  One pass over the documents, written once to the shared folder.
-2. Masked lines are counted per source (an upper bound of their documents) and clustered by locality-sensitive hashing with
-   exact verification; clusters that pass the bound are counted in documents.
+1. Every line's text is masked (numbers, dates, names) and hashed.  One pass over the documents, written once to the shared folder.
+2. Masked lines are counted per source (an upper bound of their documents), before any text moves.  MinHash bands of the
+   five-word shingles of each different masked line put it into buckets; they are clustered with exact verification, and clusters that pass the
+   bound are counted in documents.
 3. Lines of clusters with high document frequency are the candidates.  An exact count of the line's own text
    decides what ``repeated`` returns; ``removed`` takes out whole clusters.
 
@@ -74,7 +74,9 @@ def mask_words(text: str) -> list[str]:
     return list(map(_masked.__getitem__, text.split(" ")))
 
 
-SCHEMA = "scope bigint, row_id bigint, line_no int, own bigint, masked bigint, text string, " + ", ".join(f"b{k} bigint" for k in range(minhash.BANDS))
+SCHEMA = "scope bigint, row_id bigint, line_no int, own bigint, masked bigint, text string"
+#: Stands for the source of rows that have none.
+NO_SCOPE = -(2**62)
 
 
 def _lines(batches: Iterator) -> Iterator:
@@ -84,77 +86,68 @@ def _lines(batches: Iterator) -> Iterator:
 
     digest = xxhash.xxh64_intdigest
     signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-    memo: dict[str, tuple] = {}
     for b in batches:
-        scope, row, no, own, masked, text, fresh = [], [], [], [], [], [], []
+        scope, row, no, own, masked, text = [], [], [], [], [], []
         for s, r, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if not html:
                 continue
             for k, line in enumerate(html.split("\n")):
                 t = line_text(line)
                 if t and _WORD.search(t):
-                    words = mask_words(t)
-                    m = " ".join(words)
+                    m = " ".join(mask_words(t))
                     scope.append(s)
                     row.append(r)
                     no.append(k)
                     own.append(digest(t))
                     masked.append(digest(m))
                     text.append(m)
-                    fresh.append(words)
-        keys = minhash.band_keys(fresh)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(scope, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), signed(own), signed(masked), pa.array(text, pa.string()), *(pa.array(keys[:, k]) for k in range(minhash.BANDS))],
-            names=[f.split()[0] for f in SCHEMA.split(", ")],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(scope, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), signed(own), signed(masked), pa.array(text, pa.string())], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 def lines(docs: DataFrame, row_id: str, scope: str, html: str) -> DataFrame:
     """All lines that count, with hashes of their text and of its masked form; written once."""
-    slim = docs.select(F.col(scope).cast("bigint").alias("scope"), F.col(row_id).cast("bigint").alias("row_id"), F.col(html).alias("html"))
+    slim = docs.select(F.coalesce(F.col(scope).cast("bigint"), F.lit(NO_SCOPE)).alias("scope"), F.col(row_id).cast("bigint").alias("row_id"), F.col(html).alias("html"))
     return materialize(slim.where("html <> ''").mapInArrow(_lines, SCHEMA), "site-lines")
 
 
+def _buckets(batches: Iterator) -> Iterator:
+    for b in batches:
+        yield b.append_column("buckets", minhash.bucket_lists([t.split(" ") for t in b.column("text").to_pylist()]))
+
+
 def clusters(found: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``scope, masked, cluster, documents``: masked lines whose near-duplicate cluster occurs in at least ``least`` documents."""
-    bands = [f"b{k}" for k in range(minhash.BANDS)]
-    groups = materialize(
-        found.groupBy(F.coalesce("scope", F.lit(-(2**62))).alias("scope"), "masked")
-        .agg(F.count("*").alias("n"), *[F.max(b).alias(b) for b in bands]),
-        "site-masks",
-    )
-    buckets = groups.select("scope", F.col("masked").alias("key"), "n", F.posexplode(F.array(*bands)).alias("band", "bucket"))
-    # A bucket that can't belong to a frequent cluster and has one member only links nothing.
-    texts = found.select(F.coalesce("scope", F.lit(-(2**62))).alias("scope"), F.col("masked").alias("key"), "text")
-    rep = buckets.groupBy("scope", "band", "bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    members = buckets.join(rep, ["scope", "band", "bucket"], "left_semi").select("scope", "key", "band", "bucket")
-    members = materialize(members, "site-buckets")
-    wanted = members.select("scope", "key").distinct()
-    one = texts.join(wanted, ["scope", "key"], "left_semi").groupBy("scope", "key").agg(F.first("text").alias("text"))
-    edges = materialize(minhash.links(members, one), "site-links")
-    labels = minhash.components(edges, "site-classes")
-    named = groups.select("scope", "masked", "n").join(labels.select("scope", F.col("key").alias("masked"), "label"), ["scope", "masked"], "left")
-    named = named.select("scope", "masked", "n", F.coalesce("label", "masked").alias("cluster"))
+    at = ["scope", "masked"]
+    counted = found.groupBy(*at).agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
+    # Each masked line once, from the least document that has it, however many have.
+    one = found.select(*at, "row_id", "text").join(counted, [*at, "row_id"]).groupBy(*at).agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    groups = materialize(one.select("scope", F.col("masked").alias("key"), "n", "text").mapInArrow(_buckets, "scope bigint, key bigint, n bigint, text string, buckets array<bigint>"), "site-masks")
+    buckets = groups.select("scope", "key", F.explode("buckets").alias("bucket"))
+    # A bucket with one member links nothing.
+    rep = buckets.groupBy("scope", "bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    members = materialize(buckets.join(rep, ["scope", "bucket"], "left_semi"), "site-buckets")
+    texts = groups.select("scope", "key", "text").join(members.select("scope", "key").distinct(), ["scope", "key"], "left_semi")
+    labels = minhash.components(materialize(minhash.links(members, texts), "site-links"), "site-classes")
+    named = groups.select("scope", F.col("key").alias("masked"), "n").join(labels.select("scope", F.col("key").alias("masked"), "label"), at, "left")
+    named = named.select(*at, "n", F.coalesce("label", "masked").alias("cluster"))
     # The sum over members bounds the documents from above; only clusters that pass it are counted exactly.
     total = named.groupBy("scope", "cluster").agg(F.sum("n").alias("upper")).where(F.col("upper") >= least)
-    near = named.join(total, ["scope", "cluster"]).select("scope", "masked", "cluster")
+    near = named.join(total, ["scope", "cluster"]).select(*at, "cluster")
     seen = (
-        found.select(F.coalesce("scope", F.lit(-(2**62))).alias("scope"), "masked", "row_id")
-        .join(near, ["scope", "masked"])
+        found.select(*at, "row_id")
+        .join(near, at)
         .groupBy("scope", "cluster", "row_id")
         .agg(F.lit(1).alias("one"))
         .groupBy("scope", "cluster")
         .agg(F.count("*").alias("documents"))
         .where(F.col("documents") >= least)
     )
-    return near.join(seen, ["scope", "cluster"]).select("scope", "masked", "cluster", "documents")
+    return near.join(seen, ["scope", "cluster"]).select(*at, "cluster", "documents")
 
 
 def candidates(found: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Lines of frequent clusters."""
-    freq = clusters(found, least)
-    keyed = found.withColumn("scope", F.coalesce("scope", F.lit(-(2**62)))).drop(*[f"b{k}" for k in range(minhash.BANDS)], "text")
-    return keyed.join(freq, ["scope", "masked"])
+    return found.drop("text").join(clusters(found, least), ["scope", "masked"])
 
 
 def repeated(found: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:

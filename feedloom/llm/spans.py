@@ -181,9 +181,10 @@ def copies(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
 def contexts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, doc, pos, left, ctx``: anchors that occur in more than one text, with their surroundings; one document for each text."""
     slim = _slim(docs, doc, text)
-    found = materialize(slim.mapInArrow(_anchors, "key bigint, doc bigint, own bigint, pos int"), "span-anchors")
+    # Copies of a text are one text from here on; they combine before the first shuffle.
+    found = materialize(slim.mapInArrow(_anchors, "key bigint, doc bigint, own bigint, pos int").groupBy("key", "own", "pos").agg(F.min("doc").alias("doc")), "span-anchors")
     shared = found.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("key")
-    hits = found.join(shared, "key", "left_semi").groupBy("key", "own", "pos").agg(F.min("doc").alias("doc"))
+    hits = found.join(shared, "key", "left_semi")
     per_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("hits"))  # as many as the text has anchors
     return materialize(slim.join(per_doc, "doc").mapInArrow(_contexts, "key bigint, doc bigint, pos int, left int, ctx string"), "span-contexts")
 
@@ -265,7 +266,7 @@ def shares(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
 
 
 # Paragraph MinHash banding ------------------------------------------------------------------------------------
-PARAGRAPHS = "doc bigint, par_no int, key bigint, text string, " + ", ".join(f"b{k} bigint" for k in range(minhash.BANDS))
+PARAGRAPHS = "doc bigint, par_no int, key bigint, text string, buckets array<bigint>"
 
 
 def _paragraphs(batches: Iterator) -> Iterator:
@@ -283,25 +284,35 @@ def _paragraphs(batches: Iterator) -> Iterator:
                     text.append(" ".join(w))
                     key.append(xxhash.xxh64_intdigest(text[-1]))
                     words.append(w)
-        bands = minhash.band_keys(words)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(text, pa.string()), *(pa.array(bands[:, k]) for k in range(minhash.BANDS))],
+            [pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(text, pa.string()), minhash.bucket_lists(words)],
             names=[f.split()[0] for f in PARAGRAPHS.split(", ")],
         )
 
 
-def method_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, par_no, class_id, remove``: paragraphs that have a near-duplicate in some document; all but the first of a class can go."""
+def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Paragraphs with the buckets of their bands; written once."""
     slim = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).where("text is not null")
-    found = materialize(slim.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
+    return materialize(slim.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
+
+
+def paragraph_links(found: DataFrame) -> DataFrame:
+    """``scope, a, b``: verified links between different paragraphs, by the keys of their texts."""
     zero = F.lit(0).cast("bigint").alias("scope")
-    # Equal paragraphs have equal keys and bands, so the least and greatest key of a bucket tell whether it links anything.
-    buckets = found.select("key", F.posexplode(F.array(*[f"b{k}" for k in range(minhash.BANDS)])).alias("band", "bucket"))
-    mixed = buckets.groupBy("band", "bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band", "bucket")
-    members = materialize(buckets.join(mixed, ["band", "bucket"], "left_semi").distinct().select(zero, "key", "band", "bucket"), "paragraph-buckets")
-    wanted = members.select("key").distinct()
-    texts = found.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select(zero, "key", "text")
-    labels = minhash.components(materialize(minhash.links(members, texts), "paragraph-links"), "paragraph-classes")
+    # Equal paragraphs have equal keys and buckets, so the least and greatest key of a bucket tell whether it links anything.
+    buckets = found.select("key", F.explode("buckets").alias("bucket"))
+    mixed = buckets.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
+    members = materialize(buckets.join(mixed, "bucket", "left_semi").distinct().select(zero, "key", "bucket"), "paragraph-buckets")
+    # One text for each key that is wanted, from the least document that has it: copies are told apart by numbers alone, before any text moves.
+    least = found.groupBy("key").agg(F.min("doc").alias("doc")).join(members.select("key").distinct(), "key", "left_semi")
+    texts = materialize(found.select("key", "doc", "text").join(least, ["key", "doc"]).groupBy("key").agg(F.first("text").alias("text")).select(zero, "key", "text"), "paragraph-texts")
+    return materialize(minhash.links(members, texts), "paragraph-links")
+
+
+def method_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, par_no, class_id, remove``: paragraphs that have a near-duplicate in some document; all but the first of a class can go."""
+    found = paragraphs(docs, doc, text)
+    labels = minhash.components(paragraph_links(found), "paragraph-classes")
     often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     classed = often.join(labels.select("key", "label"), "key", "full").select("key", F.coalesce("label", "key").alias("class_id"))
     rows = found.select("doc", "par_no", "key").join(classed, "key")

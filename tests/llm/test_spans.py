@@ -95,6 +95,43 @@ def test_banding_recall():
     assert total > 200 and hit / total >= 0.98
 
 
+def test_short_texts_need_one_bucket():
+    """Fewer than four different shingles: the bucket is shared just by texts of the same shingles."""
+    rng = random.Random(2)
+    texts = [[rng.choice("ab") for _ in range(rng.randrange(1, 12))] for _ in range(120)] + [[str(k)] * 9 for k in range(3)] + [[str(k)] * 30 for k in range(3)]
+    got = minhash.bucket_lists(texts).to_pylist()
+    assert {len(x) for x in got} == {1, minhash.BANDS} and minhash.bucket_lists([]).to_pylist() == []
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if len(got[i]) == 1 and minhash.jaccard(" ".join(a), " ".join(texts[j])) >= 0.8:
+                assert got[i] == got[j]
+
+
+def test_links_of_paragraphs_against_brute_force(spark):
+    """Recall of the links end to end, with a third of all paragraphs equal and a notice in many of the others."""
+    rng = random.Random(11)
+    word = lambda: str(rng.randrange(10**6))
+    notice = [f"n{k}" for k in range(30)]
+    base = [(notice if k % 2 else []) + [word() for _ in range(rng.randrange(4, 60))] for k in range(150)]
+    pars = [" ".join(w) for w in base]
+    for w in base:
+        for _ in range(rng.randrange(3)):
+            v = [*w]
+            v[rng.randrange(len(v))] = word()
+            pars.append(" ".join(v))
+    pars += ["the same words in a third of all the rows there are"] * (len(pars) // 2)
+    rng.shuffle(pars)
+    docs = spark.createDataFrame([(k, "\n".join(pars[k :: 40])) for k in range(40)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.par_no): r.class_id for r in spans.method_classes(docs).collect()}
+    place = {(k, n): p for k in range(40) for n, p in enumerate(pars[k::40])}
+    distinct = sorted(set(pars))
+    pairs = [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if minhash.jaccard(a, b) >= 0.8]
+    cls = {place[k]: c for k, c in got.items()}
+    hit = sum(a in cls and cls.get(a) == cls.get(b) for a, b in pairs)
+    assert len(pairs) > 50 and hit / len(pairs) >= 0.95
+    assert all(place[k] == distinct[-1] or pars.count(place[k]) > 1 or any(place[k] in p for p in pairs) for k in got)
+
+
 def test_a_common_text_below_the_length_makes_no_pairs(spark):
     """150 characters that every document has, and a third with 60 more: only the latter share a span."""
     from pyspark.sql import functions as F
@@ -124,7 +161,7 @@ def test_unlike_texts_in_a_bucket_hide_no_pair(spark):
     assert all(minhash.jaccard(text[key(k)], text[key(500 + k)]) >= 0.8 > minhash.jaccard(text[key(k)], text[key(k + 1)]) for k in range(60))
     bands = minhash.band_keys(rows)
     want = {frozenset((key(k), key(500 + k))) for k in range(60) if (bands[k] == bands[500 + k]).any()}
-    buckets = spark.createDataFrame([(0, key(k), b, int(v)) for k, r in enumerate(bands) for b, v in enumerate(r)], "scope bigint, key bigint, band int, bucket bigint")
+    buckets = spark.createDataFrame([(0, key(k), int(v)) for k, r in enumerate(bands) for v in r], "scope bigint, key bigint, bucket bigint")
     texts = spark.createDataFrame([(0, k, t) for k, t in text.items()], "scope bigint, key bigint, text string")
     for block in (minhash.BLOCK, 100):
         assert {frozenset((r.a, r.b)) for r in minhash.links(buckets, texts, block).collect()} == want
