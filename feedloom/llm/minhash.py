@@ -12,6 +12,7 @@ would leave at most three of four in common.  It gets one bucket, by all its shi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from feedloom.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bands and hashes per band: a pair of similarity 0.8 collides with probability 1 - (1 - 0.8^4)^10 > 0.994, one of 0.9 always but for 1 in 40,000.
-BANDS, ROWS = 10, 4
+#: Bands and hashes per band: a pair of similarity 0.8 collides with probability 1 - (1 - 0.8^4)^12 > 0.998.
+BANDS, ROWS = 12, 4
+#: Bits of the filter of buckets, whatever the table's size (8 MB).  Where it is too small it lets more pass, never less.
+FILTER_BITS = 1 << 26
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,6 +124,40 @@ def _verify(batches: Iterator) -> Iterator:
         yield b.select(["scope", "a", "b"]).append_column("ok", pa.array(ok, pa.bool_()))
 
 
+def bucket_filter(buckets: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bits set for the buckets of a table; at most ``bits`` / 64 words reach the driver."""
+    words = buckets.select(F.shiftright("bucket", 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bucket & 63 as int))").alias("bit"))
+    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def _passing(batches: Iterator, words) -> Iterator:
+    import pyarrow as pa
+
+    known = words.value
+    for b in batches:
+        lists = b.column("buckets")
+        flat = lists.flatten().to_numpy()
+        hit = (known[(flat >> 6) & (len(known) - 1)] >> (flat & 63)) & 1 == 1
+        keys = np.repeat(b.column("key").to_numpy(), lists.value_lengths().to_numpy())[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(flat[hit])], names=["key", "bucket"])
+
+
+def members(found: DataFrame) -> DataFrame:
+    """``key, bucket`` of all buckets with more than one key, without repetitions; written once.  ``found``: ``key, buckets``.
+
+    Most buckets have one key.  A bucket's least and greatest key are found first, in an aggregation that combines before its shuffle; a filter of those
+    that differ then keeps nearly all other rows from travelling once more.  An exact join follows.
+    """
+    rows = found.select("key", F.explode("buckets").alias("bucket"))
+    mixed = materialize(rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket"), "mixed-buckets")
+    words = found.sparkSession.sparkContext.broadcast(bucket_filter(mixed))
+    passing = found.select("key", "buckets").mapInArrow(partial(_passing, words=words), "key bigint, bucket bigint").groupBy("key", "bucket").agg(F.lit(1).alias("one")).drop("one")
+    return materialize(passing.join(mixed, "bucket", "left_semi").select("key", "bucket"), "bucket-members")
+
+
 #: Texts and characters of a block; the blocks of a bucket meet two at a time, so a task holds at most twice as much.
 BLOCK, BLOCK_CHARS = 4096, 1 << 22
 

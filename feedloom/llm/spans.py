@@ -299,10 +299,7 @@ def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
 def paragraph_links(found: DataFrame) -> DataFrame:
     """``scope, a, b``: verified links between different paragraphs, by the keys of their texts."""
     zero = F.lit(0).cast("bigint").alias("scope")
-    # Equal paragraphs have equal keys and buckets, so the least and greatest key of a bucket tell whether it links anything.
-    buckets = found.select("key", F.explode("buckets").alias("bucket"))
-    mixed = buckets.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
-    members = materialize(buckets.join(mixed, "bucket", "left_semi").distinct().select(zero, "key", "bucket"), "paragraph-buckets")
+    members = minhash.members(found).select(zero, "key", "bucket")
     # One text for each key that is wanted, from the least document that has it: copies are told apart by numbers alone, before any text moves.
     least = found.groupBy("key").agg(F.min("doc").alias("doc")).join(members.select("key").distinct(), "key", "left_semi")
     texts = materialize(found.select("key", "doc", "text").join(least, ["key", "doc"]).groupBy("key").agg(F.first("text").alias("text")).select(zero, "key", "text"), "paragraph-texts")

@@ -107,6 +107,26 @@ def test_short_texts_need_one_bucket():
                 assert got[i] == got[j]
 
 
+def test_members_of_shared_buckets(spark):
+    """Exact, whether the filter is large enough or lets everything pass."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), [rng.choice([rng.randrange(-(2**63), 2**63), rng.randrange(40)]) for _ in range(rng.randrange(5))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "key bigint, buckets array<bigint>")
+    by = {}
+    for k, bs in rows:
+        for b in bs:
+            by.setdefault(b, set()).add(k)
+    want = {(k, b) for b, ks in by.items() if len(ks) > 1 for k in ks}
+    got = [tuple(r) for r in minhash.members(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+    real, minhash.bucket_filter = minhash.bucket_filter, lambda m: real(m, 64)
+    try:
+        assert {tuple(r) for r in minhash.members(df).collect()} == want
+    finally:
+        minhash.bucket_filter = real
+    assert minhash.members(df.limit(0)).count() == 0
+
+
 def test_links_of_paragraphs_against_brute_force(spark):
     """Recall of the links end to end, with a third of all paragraphs equal and a notice in many of the others."""
     rng = random.Random(11)
