@@ -1,6 +1,6 @@
 """Markup residue in text documents.
 
-``method_texts`` takes away site templates and returns clean text: element subtrees are hashed from the leaves up,
+``method_texts`` takes away site templates and returns clean text of all fields: element subtrees are hashed from the leaves up,
 counted per host in Spark, and subtrees that recur across many pages of a host are deleted before conversion.
 Conversion keeps headings (``# ``), list items (``- ``), code (fenced or in backticks) and formulas (``$...$``).
 
@@ -11,7 +11,8 @@ for nothing; sums of money, identifiers, paths, hash tags and comparisons are no
 Defined results: null and empty values contain nothing and convert to null and to an empty text; unclosed elements end with
 the document; element names are taken without case; deliveries of one entry, and equal contents, are one page; rows without
 a host form one host.  Only blocks that stand for themselves are template: void elements, words inside a block, headings, list
-items and table cells are part of what they stand in, and go with it only.
+items and table cells are part of what they stand in, and go with it only.  Two elements are equal if their names, contents and what
+they show are: the address and the stand-in text of a picture or other medium count, and the target of a link without a text.
 """
 
 from __future__ import annotations
@@ -161,10 +162,18 @@ def _formula(m: re.Match) -> _Formula:
 
 
 class Node:
-    __slots__ = ("tag", "kids", "key")
+    __slots__ = ("tag", "kids", "key", "shows", "text")
 
-    def __init__(self, tag: str):
-        self.tag, self.kids, self.key = tag, [], 0
+    def __init__(self, tag: str, shows: str = ""):
+        self.tag, self.kids, self.key, self.shows, self.text = tag, [], 0, shows, False
+
+
+#: Attributes that are content themselves.
+_SHOWN = re.compile(r"(?:^|\s)(src|srcset|alt|poster|data|href|value)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
+def _shows(attrs: str) -> str:
+    return "\x02".join(sorted(f"{m[1].lower()}={m[2] or m[3] or m[4] or ''}" for m in _SHOWN.finditer(attrs))) if "=" in attrs else ""
 
 
 def tree(html: str) -> Node:
@@ -198,7 +207,7 @@ def tree(html: str) -> Node:
                     if n.tag == name:
                         break
             continue
-        n = Node(name)
+        n = Node(name, _shows(m.group(3)))
         stack[-1].kids.append(n)
         if name in VOID or m.group(3).rstrip().endswith("/"):
             continue
@@ -221,7 +230,7 @@ def _post(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node) -> list[int]:
-    """Bottom-up identities of all elements; text counts with its spaces normalised, attributes don't count."""
+    """Bottom-up identities of all elements; text counts with its spaces normalised, attributes where they are content."""
     import xxhash
 
     keys = []
@@ -234,6 +243,10 @@ def hash_subtrees(root: Node) -> list[int]:
                 t = _SPACES.sub(" ", k).strip()
                 if t:
                     h.update("\x01" + t)
+                    n.text = True
+            n.text |= isinstance(k, Node) and k.text
+        if n.shows and not (n.tag == "a" and n.text):
+            h.update("\x02" + n.shows)
         n.key = h.intdigest()
         if n is not root:
             keys.append(n.key)
@@ -360,31 +373,40 @@ def found_languages(rows: DataFrame, row_id: str, fields: tuple[tuple[str, bool]
     return rows.select(row_id, *[f for f, _ in fields]).mapInArrow(partial(_languages, keep=row_id, fields=fields), f"`{row_id}` {kind}, field string, markup string")
 
 
-def _subtrees(batches: Iterator) -> Iterator:
+def _read(value: str, is_html: bool) -> Node:
+    root = tree(value) if is_html else plain_tree(value)
+    hash_subtrees(root)
+    return root
+
+
+def _subtrees(batches: Iterator, fields: tuple[tuple[str, bool], ...]) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
     signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
     for b in batches:
         host, key, page, entry = [], [], [], []
-        for h, v, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            root = tree(v)
-            hash_subtrees(root)
-            own = {root.key, *(n.key for _, n in standing(root))}  # with the page itself, by which pages are counted
-            host.extend([h] * len(own))
-            key.extend(own)
-            page.extend([root.key] * len(own))
-            entry.extend([e] * len(own))
+        hosts, entries = b.column("host").to_pylist(), b.column("entry").to_pylist()
+        for f, is_html in fields:
+            for h, v, e in zip(hosts, b.column(f).to_pylist(), entries):
+                if not v or (f != fields[0][0] and "<" not in v):
+                    continue  # what has no elements is no template
+                root = _read(v, is_html)
+                own = {root.key, *(n.key for _, n in standing(root))}  # with the page itself, by which pages are counted
+                host.extend([h] * len(own))
+                key.extend(own)
+                page.extend([root.key] * len(own))
+                entry.extend([e] * len(own))
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), signed(key), signed(page), pa.array(entry, pa.int64())], names=["host", "key", "page", "entry"])
 
 
-def templates(pages: DataFrame, host, html: str, entry, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
+def templates(pages: DataFrame, host, fields: tuple[tuple[str, bool], ...], entry, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
     """``host, key, pages``: subtrees that recur on at least ``least`` pages of a host and the ``share`` of them; ``entry`` tells
     entries apart.  Pages are counted by entry and by content, and the lesser count holds."""
     from feedloom.session import materialize
 
-    slim = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.col(html).alias("html"), F.xxhash64(entry).alias("entry")).where("html <> ''")
-    found = materialize(slim.mapInArrow(_subtrees, "host string, key bigint, page bigint, entry bigint"), "subtrees")
+    slim = pages.select(F.coalesce(host, F.lit("")).alias("host"), *[f for f, _ in fields], F.xxhash64(entry).alias("entry")).where(" or ".join(f"`{f}` <> ''" for f, _ in fields))
+    found = materialize(slim.mapInArrow(partial(_subtrees, fields=fields), "host string, key bigint, page bigint, entry bigint"), "subtrees")
     count = F.least(F.count_distinct("page"), F.count_distinct("entry")).alias
     often = found.groupBy("host", "key").agg(count("pages")).where(F.col("pages") >= least)
     whole = found.where("key = page").groupBy("host").agg(count("all"))
@@ -395,48 +417,37 @@ def templates(pages: DataFrame, host, html: str, entry, least: int = LEAST_PAGES
 TEMPLATES_BROADCAST = 200_000
 
 
-def _clean(batches: Iterator, keep: str) -> Iterator:
+def _clean(batches: Iterator, keep: str, fields: tuple[tuple[str, bool], ...]) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        out, cut = [], []
-        for v, gone in zip(b.column("html").to_pylist(), b.column("gone").to_pylist()):
-            if not v:
-                out.append(v)
-                cut.append(0)
-                continue
-            root = tree(v)
-            hash_subtrees(root)
-            dead = {g % 2**64 for g in gone or ()}
-            cut.append(prune(root, dead) if dead else 0)
-            out.append(to_text(root))
-        yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(out, pa.string()), pa.array(cut, pa.int32())], names=[keep, "text", "subtrees_removed"])
-
-
-def method_texts(pages: DataFrame, row_id: str, host, html: str, least: int = LEAST_PAGES, entry=None) -> DataFrame:
-    """``row_id, text, subtrees_removed``: every page without its host's template, as clean text.  ``entry``: what rows of one entry
-    have in common; without it each row is an entry."""
+        gone = [{g % 2**64 for g in x} if x else () for x in b.column("gone").to_pylist()]
+        for f, is_html in fields:
+            out, cut = [], []
+            for v, dead in zip(b.column(f).to_pylist(), gone):
+                if not v:
+                    out.append(v)
+                    cut.append(0)
+                    continue
+                root = _read(v, is_html)
+                cut.append(prune(root, dead) if dead else 0)
+                out.append(to_text(root, lined=not is_html))
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.array([f] * len(out), pa.string()), pa.array(out, pa.string()), pa.array(cut, pa.int32())], names=[keep, "field", "text", "subtrees_removed"])
+
+
+def method_texts(pages: DataFrame, row_id: str, host, fields: tuple[tuple[str, bool], ...], least: int = LEAST_PAGES, entry=None) -> DataFrame:
+    """``row_id, field, text, subtrees_removed``: every value without its host's template, as clean text.  ``fields``: names, and whether they are
+    HTML or meant as plain text; the first one is what a page is.  ``entry``: what rows of one entry have in common; without it each row is an entry.
+
+    A host's set of templates holds at most 1 / ``LEAST_SHARE`` times what stands on a page on average, however many pages it has.
+    """
     from feedloom.session import materialize
 
-    hits = materialize(templates(pages, host, html, F.col(row_id) if entry is None else entry, least).select("host", "key"), "templates")
-    # The set of one host follows its templates, not its pages.  Hosts are joined by shuffle once the sets grow past the bound.
+    hits = materialize(templates(pages, host, fields, F.col(row_id) if entry is None else entry, least).select("host", "key"), "templates")
     sets = hits.groupBy("host").agg(F.collect_set("key").alias("gone"))
+    # Hosts are joined by shuffle once the sets of all of them grow past the bound.
     if hits.count() <= TEMPLATES_BROADCAST:
         sets = F.broadcast(sets)
-    rows = pages.select(row_id, F.coalesce(host, F.lit("")).alias("host"), F.col(html).alias("html"))
+    rows = pages.select(row_id, F.coalesce(host, F.lit("")).alias("host"), *[f for f, _ in fields])
     kind = pages.schema[row_id].dataType.simpleString()
-    return rows.join(sets, "host", "left").select(row_id, "html", "gone").mapInArrow(partial(_clean, keep=row_id), f"`{row_id}` {kind}, text string, subtrees_removed int")
-
-
-def _plain_texts(batches: Iterator, keep: str) -> Iterator:
-    import pyarrow as pa
-
-    for b in batches:
-        out = [to_text(plain_tree(v), lined=True) if v else v for v in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[keep, "text"])
-
-
-def plain_texts(rows: DataFrame, row_id: str, field: str) -> DataFrame:
-    """``row_id, text``: a field meant as plain text without the markup it holds.  It has no elements of the site, so nothing is counted."""
-    kind = rows.schema[row_id].dataType.simpleString()
-    return rows.select(row_id, field).mapInArrow(partial(_plain_texts, keep=row_id), f"`{row_id}` {kind}, text string")
+    return rows.join(sets, "host", "left").drop("host").mapInArrow(partial(_clean, keep=row_id, fields=fields), f"`{row_id}` {kind}, field string, text string, subtrees_removed int")

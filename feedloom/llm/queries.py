@@ -51,19 +51,17 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "items"), "item_row", GARBLED, model)
 
 
+MARKED = (("content_html", True), ("summary", False))
+
+
 def p6_method(spark: SparkSession, d: str) -> DataFrame:
     own = lambda c: F.nullif(F.col(c), F.lit(""))
     entry = F.struct("feed_idx", F.coalesce(own("id"), own("url"), F.concat(F.lit("\n"), F.col("item_row").cast("string"))))
-    return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), "content_html", entry=entry)
-
-
-def p6_texts(spark: SparkSession, d: str) -> DataFrame:
-    summary = markup.plain_texts(table(spark, d, "items"), "item_row", "summary").select("item_row", F.lit("summary").alias("field"), "text")
-    return summary.unionByName(p6_method(spark, d).select("item_row", F.lit("content_html").alias("field"), "text"))
+    return markup.method_texts(table(spark, d, "items"), "item_row", F.try_parse_url(F.col("_feed.feed_url"), F.lit("HOST")), MARKED, entry=entry)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.found_languages(table(spark, d, "items"), "item_row", (("summary", False), ("content_html", True)))
+    return markup.found_languages(table(spark, d, "items"), "item_row", MARKED)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +101,6 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p6_method": p6_method,
-    "p6_texts": p6_texts,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p8_counts": p8_counts,

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import markup as m
 
+HTML = (("content_html", True),)
+
 
 @pytest.mark.parametrize(
     "value, is_html, want",
@@ -38,10 +40,10 @@ def test_equal_subtrees_have_equal_hashes():
 def test_templates_are_removed(spark):
     rows = [(k, f"h{k % 2}.example", f"<p>Own text {k}</p><div><b>Share this</b></div>" + ("<p>rare</p>" if k < 5 else "")) for k in range(40)] + [(90, None, None), (91, "h0.example", ""), (92, None, "<p>alone</p>")]
     df = spark.createDataFrame(rows, "item_row bigint, h string, content_html string").selectExpr("*", "1 as host", "2 as gone", "3 as html")
-    got = {r.item_row: (r.text, r.subtrees_removed) for r in m.method_texts(df, "item_row", F.col("h"), "content_html").collect()}
+    got = {r.item_row: (r.text, r.subtrees_removed) for r in m.method_texts(df, "item_row", F.col("h"), HTML).collect()}
     assert len(got) == 43 and got[7] == ("Own text 7", 2) and got[2] == ("Own text 2\nrare", 2)
     assert got[90] == (None, 0) and got[91] == ("", 0) and got[92] == ("alone", 0)
-    assert m.method_texts(df.limit(0), "item_row", F.col("h"), "content_html").count() == 0
+    assert m.method_texts(df.limit(0), "item_row", F.col("h"), HTML).count() == 0
 
 
 def test_operator(spark):
@@ -61,7 +63,7 @@ def test_summaries_come_out_as_clean_text(spark):
         ("# Head\n\n* one\n* two", "# Head\n- one\n- two"),
     ]:
         assert m.to_text(m.plain_tree(value), lined=True) == want
-    got = entry.queries()["p6_texts"](spark, "/root/testdata/sf0.001")
+    got = entry.queries()["p6_method"](spark, "/root/testdata/sf0.001")
     items = spark.read.parquet("/root/testdata/sf0.001/items.parquet")
     assert got.count() == got.select("item_row", "field").distinct().count() == 2 * items.count()
     both = got.where("field = 'summary'").join(items, "item_row")
@@ -69,6 +71,20 @@ def test_summaries_come_out_as_clean_text(spark):
     assert both.where("summary like '%</p>%'").count() > 0 and both.where("text like '%</p>%'").count() == 0
 
 
+def test_what_is_shown_counts(spark):
+    """Pictures differ by their addresses, links without a text by their targets; links with a text by that alone."""
+    same = lambda a, b: m._read(a, True).key == m._read(b, True).key
+    assert not same("<p><img src='a.png' class=x></p>", "<p><img src='b.png' class=x></p>") and same("<p><img src='a.png' class=x></p>", "<p><img class=y src=a.png></p>")
+    assert same("<a href=/1>Share</a>", "<a href=/2>Share</a>") and not same("<a href=/1><img src=x></a>", "<a href=/2><img src=x></a>")
+    rows = [(k, f"<p>Own {k}</p><p><img src='/{k}.png'></p><p><img src='/logo.png'></p><p>a<br>b</p>", f"<div>Read more</div>Text {k}" if k % 2 else f"no elements {k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "item_row bigint, content_html string, summary string")
+    got = {(r.item_row, r.field): (r.text, r.subtrees_removed) for r in m.method_texts(df, "item_row", F.lit("h"), (("content_html", True), ("summary", False))).collect()}
+    assert len(got) == 60 and got[7, "content_html"] == ("Own 7", 4) and got[7, "summary"] == ("Text 7", 1) and got[8, "summary"] == ("no elements 8", 0)
+    # the paragraph's break is kept where the paragraph stays
+    few = spark.createDataFrame([(k, f"<p>Own {k}<br>b</p>", None) for k in range(12)], "item_row bigint, content_html string, summary string")
+    assert {r.text for r in m.method_texts(few, "item_row", F.lit("h"), HTML).collect()} == {f"Own {k}\nb" for k in range(12)}
+
+
 def test_ordinary_content_that_recurs_stays(spark):
     def page(k):
         return f"<h2>Summary</h2><p>Own {k} is <em>not</em> one<br>but two</p><table><tr><td>0</td><td>{k}</td></tr></table>" + (f"<p>rare {k // 15}</p>" if k < 15 else "") + "<div><b>Share this</b></div>"
@@ -77,7 +93,7 @@ def test_ordinary_content_that_recurs_stays(spark):
     rows += [(3000 + k, 2000, "<p>Delivered often</p><div><b>Share this</b></div>") for k in range(40)]
     rows += [(4000 + k, 4000 + k, "<p>Copied often</p><div><b>Share this</b></div>") for k in range(40)]
     df = spark.createDataFrame(rows, "item_row bigint, e bigint, content_html string")
-    got = {r.item_row: r.text for r in m.method_texts(df, "item_row", F.lit("h"), "content_html", entry=F.col("e")).collect()}
+    got = {r.item_row: r.text for r in m.method_texts(df, "item_row", F.lit("h"), HTML, entry=F.col("e")).collect()}
     assert got[20] == "## Summary\nOwn 20 is not one\nbut two\n0\n20"
     assert got[3] == "## Summary\nOwn 3 is not one\nbut two\n0\n3\nrare 0"
     assert {got[3000 + k] for k in range(40)} == {"Delivered often"} and {got[4000 + k] for k in range(40)} == {"Copied often"}
