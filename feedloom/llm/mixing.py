@@ -7,6 +7,9 @@ source's tokens and every document's expectation.  Each task rounds its own rows
 document per source; these residuals combine through a reduction tree, so no source, however large, is
 gathered anywhere.
 
+Which documents exchange mass follows from their ids and from the numbers of documents alone, not from how rows fall into tasks, so a
+mix can be made again on any cluster.
+
 Defined results: documents whose source is null or not a target, and documents without tokens, take no part; no
 document is used more than ``max_repeats`` times; a source with a target but no tokens gets nothing and its share
 stays 0; without an explicit total the mix is the largest at which every source reaches its share.
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from feedloom.llm import tokens
 from feedloom.session import materialize
 
-#: Residual-leaving tasks that one task of the next level of the tree takes up.
-FAN_IN = 64
+#: Documents that one task of the first level rounds, on average, and residual-leaving tasks that one task of the next level takes up.
+PER_TASK, FAN_IN = 100_000, 64
 #: The targets are a configuration table; more rows than this are refused.
 MOST_TARGETS = 10_000
 ROW = "doc_id bigint, source string, n_tokens bigint, whole int, part double, copies int"
@@ -85,8 +88,6 @@ def _round(batches: Iterator, seed: int, last: bool) -> Iterator:
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> dict[str, tuple[float, int, float]]:
     """Source to (expected copies of each document, cap, target share).  One row per target reaches the driver."""
-    if targets.count() > MOST_TARGETS:
-        raise ValueError("too many targets")
     have = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     want = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.collect() if r.source is not None}
     feasible = [cap * have[s] / w for s, (w, cap) in want.items() if w > 0 and have.get(s)]
@@ -94,9 +95,16 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> di
     return {s: (min(float(cap), w * size / have[s]) if have.get(s) else 0.0, cap, w) for s, (w, cap) in want.items()}
 
 
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows spread by their ids, a source of any size evenly, and in order within each task.  A shuffle even into one task, so what comes before keeps its own."""
+    return rows.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "source")
+
+
 def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, folder: str | None = None) -> DataFrame:
     """``doc_id, source, n_tokens, copies``: the documents of the mix and how often each is used."""
     spark = docs.sparkSession
+    if targets.count() > MOST_TARGETS:
+        raise ValueError("too many targets")
     named = docs.select("doc_id", "source", "text").join(F.broadcast(targets.select("source").where("source is not null").distinct()), "source", "left_semi")
     sizes = materialize(tokens.count(named, folder, keep="source").where("n_tokens > 0"), "mix-sizes")
     how = plan(sizes, targets, total)
@@ -104,7 +112,8 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
     table = spark.createDataFrame(rows or [("", 0, 0.0)], "source string, whole int, part double")
     todo = sizes.join(F.broadcast(table), "source").select("doc_id", "source", "n_tokens", "whole", F.when(F.col("part") < 1e-9, 0.0).otherwise(F.col("part")).alias("part"))
     done: list[DataFrame] = []
-    tasks = todo.rdd.getNumPartitions()
+    tasks = math.ceil(sizes.count() / PER_TASK)
+    todo = _dealt(todo, tasks + 1)
     level = 0
     while True:
         last = tasks == 1 and level > 0
@@ -114,8 +123,8 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, seed:
             break
         tasks = max(1, math.ceil(tasks / FAN_IN))
         left = got.where("copies is null").select("doc_id", "source", "n_tokens", "whole", "part")
-        # The rows left are as many as tasks times sources; equal sources meet in one task of the next level.
-        todo = left.repartition(tasks, F.xxhash64("doc_id")) if tasks > 1 else left.coalesce(1)
+        # The rows left are at most as many as tasks times sources.
+        todo = _dealt(left, tasks)
         level += 1
     out = done[0]
     for d in done[1:]:

@@ -13,12 +13,13 @@ are ordinary text; no special tokens are added.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the vocabularies; a parameter everywhere, this is only the default.
@@ -133,11 +134,12 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str = PATTERN):
+    """``vocabulary``: lines of a token in base64 and its id."""
+
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
         import regex
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe = PrefixBPE(ranks)
         self.split = regex.compile(pattern).findall
         self.scan = regex.compile(pattern).finditer
@@ -190,16 +192,38 @@ class EncodedText:
         return [t for p in self.tables for t in p.ids()]
 
 
+def _read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(_read(path))
+
+
+class Shipped:
+    """A vocabulary on its way to the workers: read on the driver alone, so all have the same one.  A worker makes one encoder of it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        data = _read(path)
+        self.digest, self.data = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+    def encoder(self) -> Encoder:
+        if self.digest not in _made:
+            _made.clear()
+            _made[self.digest] = Encoder(self.data.value)
+        return _made[self.digest]
+
+
+_made: dict[str, Encoder] = {}
 
 
-def _ids(batches: Iterator, path: str) -> Iterator:
+def _ids(batches: Iterator, shipped: Shipped) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    enc = encoder(path)
+    enc = shipped.encoder()
     for b in batches:
         got = [enc.encode(t) for t in b.column(1).to_pylist()]
         offsets = np.zeros(len(got) + 1, np.int32)
@@ -208,10 +232,10 @@ def _ids(batches: Iterator, path: str) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
 
-def _counts(batches: Iterator, path: str) -> Iterator:
+def _counts(batches: Iterator, shipped: Shipped) -> Iterator:
     import pyarrow as pa
 
-    enc = encoder(path)
+    enc = shipped.encoder()
     for b in batches:
         n = []
         for t in b.column(1).to_pylist():
@@ -227,11 +251,11 @@ def _path(folder: str | None, name: str) -> str:
 def encode(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids``: one row per document, no shuffle."""
     slim = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(partial(_ids, path=_path(folder, vocabulary)), "doc_id bigint, ids array<int>")
+    return slim.mapInArrow(partial(_ids, shipped=Shipped(docs.sparkSession, _path(folder, vocabulary))), "doc_id bigint, ids array<int>")
 
 
 def count(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
     """``doc_id, n_tokens`` and a column to ``keep``; 0 for null and empty texts."""
     slim = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(keep)] if keep else []))
     more = f", `{keep}` {docs.schema[keep].dataType.simpleString()}" if keep else ""
-    return slim.mapInArrow(partial(_counts, path=_path(folder, vocabulary)), "doc_id bigint, n_tokens bigint" + more)
+    return slim.mapInArrow(partial(_counts, shipped=Shipped(docs.sparkSession, _path(folder, vocabulary))), "doc_id bigint, n_tokens bigint" + more)

@@ -41,5 +41,8 @@ def test_mix(spark):
     assert shares["absent"].actual_share == 0
     assert mixing.mixed(docs.limit(0), targets).count() == 0
     assert mixing.mixed(docs, targets.limit(0)).count() == 0
+    # the same mix however the rows lie
+    again = mixing.mixed(docs.repartition(3), targets).collect()
+    assert {(r.doc_id, r.copies) for r in again} == {(r.doc_id, r.copies) for r in got}
     small = mixing.mixed(docs, targets, total=500.0).collect()
     assert abs(sum(r.n_tokens * r.copies for r in small) - 500) < 120
