@@ -117,7 +117,17 @@ QUERIES = {
     "p10_shares": p10_shares,
 }
 
+# Every run of 200 characters of every text.
+_RUNS = """with d as (select doc_id, text, length(text) as n from documents where length(text) >= 200),
+w as (select doc_id, n, i, md5(substr(text, cast(i as integer), 200)) as h from (select *, unnest(range(1, n - 198)) as i from d))"""
+
 SQL = {
+    "p10_found": f"""{_RUNS}, u as (select distinct doc_id, h from w), k as (select h from u group by h having count(*) > 1), v as (select u.* from u join k using (h))
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from v a join v b using (h) where a.doc_id < b.doc_id""",
+    "p10_shares": f"""{_RUNS}, k as (select h from w group by h having count(distinct doc_id) > 1), s as (select distinct doc_id, i from w join k using (h)),
+c as (select doc_id, sum(least(200, i - coalesce(p, i - 200))) as m from (select *, lag(i) over (partition by doc_id order by i) as p from s) group by doc_id)
+select doc_id, cast(coalesce(length(text), 0) as bigint) as n_chars, cast(coalesce(m, 0) as bigint) as shared_chars, case when length(text) > 0 then coalesce(m, 0) / length(text) else 0.0 end as share
+from documents left join c using (doc_id)""",
     "p4_found": """
 with l as (
   select item_row, feed_idx, cast(i - 1 as integer) as line_no,
