@@ -203,16 +203,32 @@ def block_links(texts: list[str], near: list[bool], part: list[int]) -> list[tup
     return out
 
 
-def _settle(group):
+def _settle(batches: Iterator) -> Iterator:
+    """Links of the members of each pair of blocks; rows come sorted by it, so one pair at a time is held, and small ones cost no call of their own."""
+    from itertools import groupby
+
     import pyarrow as pa
 
-    keys = group.column("key").to_pylist()
-    got = block_links(group.column("text").to_pylist(), group.column("near").to_pylist(), group.column("part").to_pylist())
-    scope = group.column("scope")[0].as_py()
-    return pa.Table.from_arrays(
-        [pa.array([scope] * len(got), group.schema.field("scope").type), pa.array([keys[x] for x, _ in got], pa.int64()), pa.array([keys[y] for _, y in got], pa.int64())],
-        names=["scope", "a", "b"],
-    )
+    kind = None
+
+    def rows():
+        nonlocal kind
+        for b in batches:
+            kind = b.schema.field("scope").type
+            yield from zip(*(b.column(c).to_pylist() for c in ("scope", "bucket", "i", "j", "key", "near", "part", "text")))
+
+    def out(found: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (kind, pa.int64(), pa.int64()))], names=["scope", "a", "b"])
+
+    found: list[tuple] = []
+    for (scope, *_), group in groupby(rows(), key=lambda r: r[:4]):
+        keys, near, part, texts = zip(*(r[4:] for r in group))
+        found.extend((scope, keys[x], keys[y]) for x, y in block_links(list(texts), list(near), list(part)))
+        if len(found) > 10_000:
+            yield out(found)
+            found = []
+    if found:
+        yield out(found)
 
 
 def links(buckets: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -248,7 +264,8 @@ def links(buckets: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame
     parts = rest.drop("n").join(sizes, at).withColumn("part", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select(*at, "i", "j", "key", "near", "part")
-    more = parts.join(texts.select("scope", "key", "text"), ["scope", "key"]).groupBy(*at, "i", "j").applyInArrow(_settle, f"scope {kind}, a bigint, b bigint")
+    met = parts.join(texts.select("scope", "key", "text"), ["scope", "key"]).repartition(*at, "i", "j").sortWithinPartitions(*at, "i", "j")
+    more = met.select(*at, "i", "j", "key", "near", "part", "text").mapInArrow(_settle, f"scope {kind}, a bigint, b bigint")
     return direct.unionByName(more)
 
 
