@@ -71,37 +71,41 @@ def shingle_hashes(word_lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]
     return acc[at], np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
-def band_keys(word_lists: list[list[str]], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """int64 [texts, bands]."""
-    n = len(word_lists)
+def _bands(h: np.ndarray, starts: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
     out = np.zeros((n, bands), np.int64)
     if not n:
         return out
-    h, starts = shingle_hashes(word_lists)
     with np.errstate(over="ignore"):
         for b in range(bands):
             key = np.full(n, b, np.uint64)
             for r in range(rows):
-                seed = np.uint64((b * rows + r + 1) * 0x632BE59BD9B4E019 % 2**64)
-                key = _scramble(key * np.uint64(31) + np.minimum.reduceat(_scramble(h ^ seed), starts))
+                # Shingle hashes are scattered already, so one multiplication by an odd number makes an order of its own.
+                seed = (b * rows + r + 1) * 0x632BE59BD9B4E019 % 2**64
+                key = _scramble(key * np.uint64(31) + np.minimum.reduceat((h ^ np.uint64(seed)) * np.uint64(seed * 0xD1342543DE82EF95 % 2**64 | 1), starts))
             out[:, b] = key.view(np.int64)
     return out
 
 
+def band_keys(word_lists: list[list[str]], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """int64 [texts, bands]."""
+    return _bands(*(shingle_hashes(word_lists) if word_lists else (np.zeros(0, np.uint64), np.zeros(0, np.int64))), len(word_lists), bands, rows)
+
+
 def bucket_lists(word_lists: list[list[str]], bands: int = BANDS, rows: int = ROWS):
     """Arrow list array: the buckets of every text; a bucket's number tells its band."""
     import pyarrow as pa
 
     n = len(word_lists)
-    keys = band_keys(word_lists, bands, rows)
     h, starts = shingle_hashes(word_lists) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    ends = np.append(starts[1:], len(h)) if n else starts
-    few = np.zeros(n, bool)
-    for k in range(n):
-        if ends[k] - starts[k] < 4 or (len(set(word_lists[k])) < 8 and len(np.unique(h[starts[k] : ends[k]])) < 4):
-            few[k] = True
-            own = np.unique(h[starts[k] : ends[k]])
-            keys[k, 0] = np.array([np.bitwise_xor.reduce(_scramble(own + np.uint64(len(own))))], np.uint64).view(np.int64)[0]
+    keys = _bands(h, starts, n, bands, rows)
+    counts = np.diff(np.append(starts, len(h)))
+    # Four shingles or more can be fewer different ones only where words recur.
+    odd = [k for k in np.flatnonzero(counts >= 4).tolist() if len(set(word_lists[k])) < 8]
+    few = counts < 4
+    few[odd] = [len(np.unique(h[starts[k] : starts[k] + counts[k]])) < 4 for k in odd]
+    for k in np.flatnonzero(few).tolist():
+        own = np.unique(h[starts[k] : starts[k] + counts[k]])
+        keys[k, 0] = np.bitwise_xor.reduce(_scramble(own + np.uint64(len(own)))).view(np.int64)
     sizes = np.where(few, 1, bands)
     take = np.arange(bands)[None, :] < sizes[:, None]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[take]))
