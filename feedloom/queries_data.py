@@ -113,12 +113,59 @@ c as (select page_row, item_pos, case child when 'authors' then 'author' else ch
   where child <> 'author' or not exists (select 1 from f y where y.child = 'authors' and y.page_row = x.page_row and y.item_pos = x.item_pos))
 """
 
+# Problem 2 in SQL, with DuckDB's own zone data.
+_CLOCK = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?(?: ?([AaPp][Mm])\b)?"
+#: One pattern for each kind of date, and the names of its groups.
+_DATES = {
+    "iso": ("([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})[Tt ,]+" + _CLOCK + "(.*)", "y m d h i s f half rest"),
+    "compact": ("([0-9]{4})([0-9]{2})([0-9]{2})[Tt]?([0-9]{2})([0-9]{2})([0-9]{2})?(?:[.,]([0-9]+))?()(.*)", "y m d h i s f half rest"),
+    "dots": (r"([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4}|[0-9]{2}),? " + _CLOCK + "(.*)", "d m y h i s f half rest"),
+    "day_first": (r"(?:([A-Za-z]+)\.?,? )?([0-9]{1,2})[ -]([A-Za-z]+)\.?[ -]([0-9]{4}|[0-9]{2}),? " + _CLOCK + "(.*)", "w d m y h i s f half rest"),
+    "month_first": (r"(?:([A-Za-z]+)\.?,? )?([A-Za-z]+)\.? ([0-9]{1,2}),? ([0-9]{4}),?(?: at)? " + _CLOCK + "(.*)", "w m d y h i s f half rest"),
+    "ctime": ("([A-Za-z]+) ([A-Za-z]+) +([0-9]{1,2}) " + _CLOCK + "( [A-Za-z]+)? ([0-9]{4})", "w m d h i s f half rest y"),
+}
+_PARTS = "w y m d h i s f half rest".split()
+
+
+def _dates_sql() -> str:
+    """Parts of every value, for each pattern that fits it."""
+
+    def of(kind: str, k: int) -> str:
+        pattern, names = _DATES[kind]
+        got = f"regexp_extract(x, '^{pattern}$', [{', '.join(repr(n) for n in names.split())}])"
+        cols = ", ".join(f"g.{n} as {n}" if n in names.split() else f"'' as {n}" for n in _PARTS)
+        return f"select item_row, field, x, z, {k} as k, {cols} from (select *, {got} as g from v where regexp_full_match(x, '{pattern}'))"
+
+    return " union all ".join(of(kind, k) for k, kind in enumerate(_DATES))
+
+
+_INSTANTS = f"""with v as (select item_row, field, trim(x) as x, time_zone as z from (select item_row, feed_idx, unnest(['date_published', 'date_modified']) as field, unnest([date_published, date_modified]) as x from items) left join feeds using (feed_idx) where x is not null),
+a as ({_dates_sql()}),
+b as (select * from a qualify row_number() over (partition by item_row, field order by k) = 1),
+n as (select *, case when m <> '' and regexp_full_match(m, '[0-9]+') then try_cast(m as int) else list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(m[:3])) end as mo,
+  case when len(y) = 2 then 2000 else 0 end + try_cast(y as int) as yr,
+  case when half = '' then try_cast(h as int) when try_cast(h as int) between 1 and 12 then try_cast(h as int) % 12 + case when lower(half) = 'pm' then 12 else 0 end end as hr,
+  try_cast(rpad(f[:6], 6, '0') as int) as us, trim(rest) as r from b),
+t as (select *, try(make_timestamp(yr, mo, try_cast(d as int), hr, try_cast(i as int), case when s = '' then 0 else try_cast(s as int) end + us / 1000000.0)) as wall from n where hr < 24 and try_cast(i as int) < 60 and (s = '' or try_cast(s as int) < 60)),
+w as (select *, case when r = '' then z when regexp_full_match(r, '\\[?[A-Za-z_+-]+(/[A-Za-z0-9_+-]+)+\\]?') then trim(r, '[]') end as zone,
+  case when regexp_full_match(r, '[+-][0-9]{{2}}(:?[0-9]{{2}})?( ?\\([A-Za-z]+\\))?') then (case when r[1] = '-' then -1 else 1 end) * (try_cast(r[2:3] as int) * 60 + coalesce(try_cast(replace(r, ':', '')[4:5] as int), 0))
+    else case lower(trim(r, '()[]')) when 'z' then 0 when 'gmt' then 0 when 'ut' then 0 when 'utc' then 0 when 'est' then -300 when 'edt' then -240 when 'cst' then -360 when 'cdt' then -300 when 'mst' then -420 when 'mdt' then -360 when 'pst' then -480 when 'pdt' then -420 end end as off
+  from t where wall is not null and (w = '' or lower(w[:3]) = lower(dayname(wall)[:3]))),
+q as (select *, try(timezone(zone, wall)) as t0 from w),
+e as (select item_row, field, x, case when off is not null then epoch_us(wall) - cast(off as bigint) * 60000000
+    when timezone(zone, t0) = wall and timezone(zone, t0 - interval 1 hour) <> wall and timezone(zone, t0 + interval 1 hour) <> wall and timezone(zone, t0 - interval 30 minute) <> wall and timezone(zone, t0 + interval 30 minute) <> wall then epoch_us(t0) end as epoch_us from q
+  union all select item_row, field, x, try_cast(x as bigint) * case when len(x) <= 10 then 1000000 else 1000 end from v where regexp_full_match(x, '[0-9]{{9,10}}|[0-9]{{12,13}}')),
+found as (select item_row, field, epoch_us, regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\\.[0-9]+)?Z') as already from e where epoch_us is not null)"""
+
 
 def _field(name: str, of: str = "v") -> str:
     return f"case when json_type({of}, '$.{name}') <> 'NULL' then {of} ->> '$.{name}' end as {name}"
 
 
 SQL = {
+    "p2_found": f"{_INSTANTS} select item_row, field, epoch_us from found where not already",
+    "p2_coverage": f"""{_INSTANTS}, given as (select field, count(*) filter (where x <> '') as given from (select unnest(['date_published', 'date_modified']) as field, unnest([date_published, date_modified]) as x from items) group by field)
+select field, any_value(given) as given, count(epoch_us) as instants, count(*) filter (where already) as already from given left join found using (field) group by field""",
     "p7_found": f"{_BODIES} select page_row, item_pos, child, child_pos from c",
     "p7_items": f"{_BODIES} select page_row, item_pos, {', '.join(_field(n, 'it') for n in _ITEM_TEXTS)} from o",
     "p7_authors": f"{_BODIES} select page_row, item_pos, child_pos, case when json_type(v) = 'VARCHAR' then v ->> '$' else v ->> '$.name' end as name, {_field('url')}, {_field('avatar')} from c where child = 'author'",
