@@ -115,12 +115,14 @@ def read_tree(body: bytes, source_url: str) -> El:
     return next(k for k in root.kids if isinstance(k, El))
 
 
-_TAG = re.compile(r"(<[A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(>)")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|(<([A-Za-z][^\s/>]*))((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(>)", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: Elements whose content is text, whatever it looks like.
+_TEXT_ONLY = frozenset("script style textarea title xmp iframe noembed noframes".split())
 
 
 def rewrite_html(text: str, base: str) -> str:
-    """HTML with its references resolved and written with entities, everything else as it was."""
+    """HTML with the references of its tags resolved and written with entities, everything else as it was: comments, and what only looks like tags inside scripts and the like."""
     from html import unescape
 
     def attr(m: re.Match) -> str:
@@ -130,7 +132,17 @@ def rewrite_html(text: str, base: str) -> str:
             v = resolve(base, v)
         return f'{name.lower()}="{escape(v, quote=False).replace(chr(34), "&#34;")}"'
 
-    return _TAG.sub(lambda m: m[1] + _ATTR.sub(attr, m[2]) + m[3], text)
+    out, at = [], 0
+    while m := _TAG.search(text, at):
+        out.append(text[at : m.start()])
+        at = m.end()
+        out.append(m[1] + _ATTR.sub(attr, m[3]) + m[4] if m[1] else m[0])
+        if m[1] and m[2].lower() in _TEXT_ONLY:
+            end = re.compile(rf"</{m[2]}(?=[\s/>])", re.I).search(text, at)
+            stop = end.start() if end else len(text)
+            out.append(text[at:stop])
+            at = stop
+    return "".join(out) + text[at:]
 
 
 def _inner_xml(el: El) -> str:

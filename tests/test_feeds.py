@@ -63,6 +63,23 @@ def test_atom_bases_and_contents():
     assert a["authors"] == [{"name": "N", "url": "https://harbour.example/me", "avatar": None}]
 
 
+def test_rewritten_html():
+    from feedloom.sources.xmlfeed import rewrite_html
+
+    base = "https://harbour.example/log/"
+    for text, want in [
+        ('<a href="x?a=1&amp;b=2">t</a>', '<a href="https://harbour.example/log/x?a=1&amp;b=2">t</a>'),
+        ("<IMG SRC=i.png alt='a > b'> 3 < 4", '<IMG src="https://harbour.example/log/i.png" alt="a &gt; b"> 3 < 4'),
+        ('<!-- <a href="x"> --><p cite=y>', '<!-- <a href="x"> --><p cite="https://harbour.example/log/y">'),
+        ('<script src=s.js>var a = \'<a href="x">\';</script><a href=z>', '<script src="https://harbour.example/log/s.js">var a = \'<a href="x">\';</script><a href="https://harbour.example/log/z">'),
+        ('<textarea><a href="x"></TEXTAREA><a href=z>', '<textarea><a href="x"></TEXTAREA><a href="https://harbour.example/log/z">'),
+        ('<title>open <a href="x">', '<title>open <a href="x">'),
+        ("<a href=%zz>", '<a href="%zz">'),
+        ("", ""),
+    ]:
+        assert rewrite_html(text, base) == want
+
+
 def test_encodings():
     assert one('<?xml version="1.0" encoding="ISO-8859-1"?>'.encode() + ATOM.format("<entry><id>1</id><title>Café</title></entry>").encode("latin-1"))["title"] == "Café"
     assert one('<?xml version="1.0" encoding="Shift_JIS"?>'.encode() + ATOM.format("<entry><id>1</id><title>日本</title></entry>").encode("shift_jis"))["title"] == "日本"
