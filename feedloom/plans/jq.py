@@ -29,7 +29,7 @@ _LEX = re.compile(
 
 class JqSyntaxError(ValueError):
     def __init__(self, message: str):
-        super().__init__(f"parse --jq expression: {message}")
+        super().__init__(f"this is no jq program: {message}")
 
 
 class JqError(ValueError):

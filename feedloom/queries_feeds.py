@@ -606,6 +606,18 @@ def read_feeds(spark, d):
 _IDENT = "coalesce(nullif(id, ''), nullif(url, ''))"
 
 
+@query("stream_items", f"{_EV} select feed_idx, id, min(page) >= 1 as found from j group by feed_idx, id")
+def stream_items(spark, d):
+    """Documents as a stream of files: parsed, each id of a feed once.  Which of its copies comes out is a matter of arrival."""
+    root = scratch_path(spark, "stream-documents")
+    docs = corpus.json_pages(corpus.entries(spark, d)).withColumn("fetched_at", F.lit(EARLY).cast("timestamp"))
+    docs.write.parquet(f"{root}/docs")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/docs")
+    q = streams.stream_items(stream).select("feed_idx", "page", "pos", "id").writeStream.format("parquet").option("path", f"{root}/items").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/items").select("feed_idx", "id", (F.col("page") >= 1).alias("found"))
+
+
 @query("stream_dedup", f"select item_row, feed_idx from (select *, {_IDENT} as k, min(item_row) over (partition by feed_idx, {_IDENT}) as first from items) where k is null or item_row = first")
 def stream_dedup(spark, d):
     """Deliveries as a stream of files, merged batch by batch into the store."""

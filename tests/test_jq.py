@@ -28,7 +28,7 @@ def test_programs(program, want):
 
 @pytest.mark.parametrize("bad", ["[", ".a |", "nope", "$x", "{a:}", '"abc', ".a as $x", "1 +", "if . then 1", "reduce . as $x (1)", "a b", "(", ".[", "1 == 2 == 3"])
 def test_syntax_errors_before_anything_runs(bad):
-    with pytest.raises(ValueError, match="parse --jq expression"):
+    with pytest.raises(ValueError, match="no jq program"):
         jq.Program(bad)
 
 

@@ -213,7 +213,7 @@ def run(argv, stdin="", **k):
 def test_command_line(spark, site):
     site.json("/a", {"id": "1", "title": "A", "date_published": "2024-01-15T00:00:00Z"}, {"id": "2"})
     assert run(["--version"])[0] == 0
-    for argv, message in (([], "address"), (["-r", "u"], "program"), (["--all", "--since", "2024-01-01", "u"], "--all"), (["--all", "--updated", "u"], "--updated"), (["--since", "x", "u"], "is no time"), (["--max-pages", "0", "u"], "pages"), (["--jq", "[", "u"], "parse --jq")):
+    for argv, message in (([], "address"), (["-r", "u"], "program"), (["--all", "--since", "2024-01-01", "u"], "--all"), (["--all", "--updated", "u"], "--updated"), (["--since", "x", "u"], "is no time"), (["--max-pages", "0", "u"], "pages"), (["--jq", "[", "u"], "no jq program")):
         code, out, err = run(argv)
         assert code == 1 and message in err and not out
     code, out, err = run(["--all", "--jq", ".title // .id", "-r", site.base + "/a"], stdin=f"\n {site.base}/a \n", spark=spark, interval="0")
