@@ -93,6 +93,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.span_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.classes(table(spark, d, "documents"))
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(table(spark, d, "documents"))
 
@@ -114,6 +118,7 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_method": p10_method,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
     "p10_shares": p10_shares,
 }
 
@@ -124,6 +129,10 @@ w as (select doc_id, n, i, md5(substr(text, cast(i as integer), 200)) as h from
 SQL = {
     "p10_found": f"""{_RUNS}, u as (select distinct doc_id, h from w), k as (select h from u group by h having count(*) > 1), v as (select u.* from u join k using (h))
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from v a join v b using (h) where a.doc_id < b.doc_id""",
+    "p10_classes": f"""with recursive {_RUNS.removeprefix("with ")}, u as (select distinct doc_id, h from w), m as (select h, min(doc_id) as b from u group by h having count(*) > 1),
+e as (select distinct doc_id as a, b from u join m using (h)), g as (select a, b from e union select b, a from e),
+r(doc_id, c) as (select a, a from g union select r.doc_id, g.b from r join g on g.a = r.c)
+select doc_id, coalesce(class_id, doc_id) as class_id from documents left join (select doc_id, min(c) as class_id from r group by doc_id) using (doc_id)""",
     "p10_shares": f"""{_RUNS}, k as (select h from w group by h having count(distinct doc_id) > 1), s as (select distinct doc_id, i from w join k using (h)),
 c as (select doc_id, sum(least(200, i - coalesce(p, i - 200))) as m from (select *, lag(i) over (partition by doc_id order by i) as p from s) group by doc_id)
 select doc_id, cast(coalesce(length(text), 0) as bigint) as n_chars, cast(coalesce(m, 0) as bigint) as shared_chars, case when length(text) > 0 then coalesce(m, 0) / length(text) else 0.0 end as share

@@ -244,6 +244,25 @@ def span_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, class_id``: documents joined by shared spans, each with the least document of its class; one that shares nothing is a class of its own.
+
+    The form for tables where pairs are too many: documents with the same surroundings of an anchor are linked to the least of them, copies of
+    a text to their least document, so links are as many as rows, not as pairs.
+    """
+    named, good = verified(contexts(docs, doc, text))
+    # Surroundings shorter than a span hold none, with whatever they are compared.
+    who = named.where(F.char_length("ctx") >= SPAN).select("key", "cid", "doc")
+    least = materialize(who.groupBy("key", "cid").agg(F.min("doc").alias("least")), "span-least")
+    star = who.join(least, ["key", "cid"]).select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    ends = least.select("key", F.col("cid").alias("cid_a"), F.col("least").alias("a")), least.select("key", F.col("cid").alias("cid_b"), F.col("least").alias("b"))
+    across = good.join(ends[0], ["key", "cid_a"]).join(ends[1], ["key", "cid_b"]).select("a", "b")
+    same = copies(docs, doc, text).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    links = star.unionByName(across).unionByName(same).where("a <> b").select(F.lit(0).alias("scope"), "a", "b").distinct()
+    label = minhash.components(materialize(links, "span-links"), "span-classes").select(F.col("key").alias("doc_id"), "label")
+    return docs.select(F.col(doc).cast("bigint").alias("doc_id")).join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+
+
 def shares(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_chars, shared_chars, share``: how much of each text lies in spans that occur in other documents too.
 

@@ -39,6 +39,11 @@ def test_pairs_and_shares_against_brute_force(spark):
         pairs, cover = brute(docs)
         got = [tuple(r) for r in spans.span_pairs(df).collect()]
         assert len(got) == len(set(got)) and set(got) == pairs
+        label = {d: d for d, _ in docs}
+        for _ in docs:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        assert {r.doc_id: r.class_id for r in spans.classes(df).collect()} == label
         rows = spans.shares(df).collect()
         assert {r.doc_id: r.shared_chars for r in rows} == cover
         assert all(r.n_chars == len(docs[r.doc_id][1] or "") for r in rows)
@@ -46,7 +51,7 @@ def test_pairs_and_shares_against_brute_force(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert spans.span_pairs(df).count() == spans.shares(df).count() == spans.method_classes(df).count() == 0
+    assert spans.span_pairs(df).count() == spans.shares(df).count() == spans.method_classes(df).count() == spans.classes(df).count() == 0
 
 
 def test_pieces_change_no_anchor():
