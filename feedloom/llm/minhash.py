@@ -111,20 +111,36 @@ def bucket_lists(word_lists: list[list[str]], bands: int = BANDS, rows: int = RO
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[take]))
 
 
-def jaccard(a: str, b: str) -> float:
-    def shingles(t: str) -> set:
-        w = t.split()
-        return {tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))}
+def shingles(text: str) -> set:
+    w = text.split()
+    return set(zip(*(w[k:] for k in range(WORDS)))) if len(w) >= WORDS else {tuple(w)}
+
+
+def similarity(x: set, y: set) -> float:
+    same = len(x & y)
+    return same / (len(x) + len(y) - same)
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
+
+def alike(x: set, y: set) -> bool:
+    """Whether two sets of shingles reach SIMILARITY; sizes too far apart can't."""
+    a, b = len(x), len(y)
+    return min(a, b) >= SIMILARITY * max(a, b) - 1e-9 and similarity(x, y) >= SIMILARITY
+
+
+def jaccard(a: str, b: str) -> float:
+    return similarity(shingles(a), shingles(b))
 
 
 def _verify(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    last, own = None, set()  # a bucket's members come with the same representative
     for b in batches:
-        ok = [x is not None and y is not None and jaccard(x, y) >= SIMILARITY for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())]
+        ok = []
+        for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
+            if y != last:
+                last, own = y, shingles(y or "")
+            ok.append(x is not None and y is not None and alike(shingles(x), own))
         yield b.select(["scope", "a", "b"]).append_column("ok", pa.array(ok, pa.bool_()))
 
 
@@ -162,6 +178,8 @@ def members(found: DataFrame) -> DataFrame:
     return materialize(passing.join(mixed, "bucket", "left_semi").select("key", "bucket"), "bucket-members")
 
 
+#: Texts up to which a block is compared pair by pair, without an index.
+SMALL = 24
 #: Texts and characters of a block; the blocks of a bucket meet two at a time, so a task holds at most twice as much.
 BLOCK, BLOCK_CHARS = 4096, 1 << 22
 
@@ -172,11 +190,6 @@ def block_links(texts: list[str], near: list[bool], part: list[int]) -> list[tup
     ``near``: texts known to be connected with each other.  Texts of equal ``part`` meet only if all parts are equal.  Prefix
     filter, rarest shingles first: of two similar texts, the first shingles of the shorter and of the longer have one in common.
     """
-    hashes, starts = shingle_hashes([t.split() for t in texts])
-    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    sets = [np.unique(x) for x in np.split(rank[inverse], starts[1:])]
     root = list(range(len(texts)))
     known = [k for k, x in enumerate(near) if x]
     for k in known:
@@ -188,6 +201,19 @@ def block_links(texts: list[str], near: list[bool], part: list[int]) -> list[tup
         return k
 
     across, out = len(set(part)) > 1, []
+    if len(texts) <= SMALL:
+        small = [shingles(t) for t in texts]
+        for x in range(len(texts)):
+            for y in range(x):
+                if find(x) != find(y) and not (across and part[x] == part[y]) and alike(small[x], small[y]):
+                    out.append((x, y))
+                    root[find(x)] = find(y)
+        return out
+    hashes, starts = shingle_hashes([t.split() for t in texts])
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    sets = [np.unique(x) for x in np.split(rank[inverse], starts[1:])]
     index: dict[int, dict[int, list[int]]] = {}
     for x in sorted(range(len(texts)), key=lambda k: len(sets[k])):
         n, tried = len(sets[x]), set()

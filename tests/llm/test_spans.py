@@ -213,5 +213,8 @@ def test_block_links_connect_what_all_pairs_connect():
         return label
 
     pairs = [(x, y) for x in range(len(texts)) for y in range(x) if minhash.jaccard(texts[x], texts[y]) >= 0.8]
-    got = minhash.block_links(texts, [False] * len(texts), [0] * len(texts))
-    assert set(map(frozenset, got)) <= set(map(frozenset, pairs)) and classes(got) == classes(pairs)
+    for small in (0, 24, 10**6):  # with the index, and pair by pair
+        minhash.SMALL, real = small, minhash.SMALL
+        got = minhash.block_links(texts, [False] * len(texts), [0] * len(texts))
+        minhash.SMALL = real
+        assert set(map(frozenset, got)) <= set(map(frozenset, pairs)) and classes(got) == classes(pairs)
