@@ -155,7 +155,8 @@ def order_stop(parsed: DataFrame, since: dt.datetime, prefer_updated: bool = Fal
     """``feed_idx, crawl, stop_page`` of the feeds that stop early: the first page after which dates in descending order have passed ``since``.
 
     Works on parsed documents, of which only the summaries travel: at most ``max_pages`` of a crawl meet, each of some 100 bytes,
-    whatever the pages hold.  Duplicates count like any item; a document that is no feed counts for nothing.
+    whatever the pages hold.  Repeated items count like any other; a document that is no feed counts for nothing, and of a page that a
+    crawl holds more than once one counts, the one with the least hash of its summary.
     """
     floor = descent.bound(since)
 
@@ -163,7 +164,8 @@ def order_stop(parsed: DataFrame, since: dt.datetime, prefer_updated: bool = Fal
         return pa.array([descent.stop_page(((p["page"], descent.from_record(p["descent"])) for p in ps), floor, prefer_updated) for ps in pages.to_pylist()], pa.int32())
 
     keys = feed_keys(parsed)
-    slim = parsed.where((F.col("page") <= max_pages) & F.col("parsed.error").isNull()).select(*keys, F.struct("page", "parsed.descent").alias("p"))
+    good = parsed.where((F.col("page") <= max_pages) & F.col("parsed.error").isNull()).select(*keys, "page", "parsed.descent")
+    slim = good.groupBy(*keys, "page").agg(F.min_by("descent", F.xxhash64("descent")).alias("descent")).select(*keys, F.struct("page", "descent").alias("p"))
     per = slim.groupBy(*keys).agg(F.array_sort(F.collect_list("p"), lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0)).alias("pages"))
     return per.select(*keys, F.arrow_udf(stops, "int")("pages").alias("stop_page")).where("stop_page is not null")
 

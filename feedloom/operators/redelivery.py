@@ -97,7 +97,7 @@ class DeliveryStore:
     def _publish(self, m: dict) -> None:
         """The manifest appears whole or not at all, and the second of two writers of one version fails.
 
-        On a local disk a hard link does that; elsewhere a rename that may not overwrite, which a file system for shared
+        On a local disk a hard link does that (on one without them, only for one writer at a time); elsewhere a rename that may not overwrite, which a file system for shared
         stores makes one step.  A store of objects without such a rename can't hold the manifests.
         """
         tmp, to = self.fs_path(f"{self.root}/tmp/{uuid.uuid4().hex}"), self.fs_path(f"{self.root}/manifest/{m['version']:09d}")
@@ -107,8 +107,7 @@ class DeliveryStore:
         out.close()
         try:
             if self.fs.getScheme() == "file":
-                at = lambda p: self.jvm.java.nio.file.Path.of(self.fs.makeQualified(p).toUri())
-                self.jvm.java.nio.file.Files.createLink(at(to), at(tmp))
+                self._link(*(self.jvm.java.nio.file.Path.of(self.fs.makeQualified(p).toUri()) for p in (to, tmp)))
             else:
                 fc = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
                 none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
@@ -120,6 +119,16 @@ class DeliveryStore:
         finally:
             self.fs.delete(tmp, False)
 
+    def _link(self, to, tmp) -> None:
+        files = self.jvm.java.nio.file.Files
+        try:
+            files.createLink(to, tmp)
+        except Exception as e:  # noqa: BLE001
+            if "AlreadyExists" in str(e):
+                raise
+            # A disk without hard links: a move that may not overwrite, which is enough for one writer at a time.
+            files.move(tmp, to, self.spark.sparkContext._gateway.new_array(self.jvm.java.nio.file.CopyOption, 0))
+
     # reading ---------------------------------------------------------------------------------------------
     def _load(self, m: dict, dirs: list[str]) -> DataFrame:
         from pyspark.sql import types as T

@@ -160,6 +160,14 @@ def test_crawls_stop_apart(spark):
     assert {(r.crawl, r.id) for r in feeds.keep_first(rows).collect()} == {(0, str(k)) for k in range(5)} | {(1, "0"), (1, "1")}
 
 
+def test_a_page_that_came_more_than_once(spark):
+    """However often it came, it counts once."""
+    p = pages(spark, [ONLY(OLD, OLD), ONLY(OLD)])
+    many = p.unionByName(p).unionByName(p)
+    assert feeds.order_stop(p, dt.datetime(2024, 3, 1)).collect() == feeds.order_stop(many, dt.datetime(2024, 3, 1)).collect() == []
+    assert feeds.order_stop(p.limit(0), dt.datetime(2024, 3, 1)).collect() == []
+
+
 def test_stretches_join_in_any_grouping():
     from functools import reduce
     from operator import add

@@ -122,6 +122,24 @@ def test_the_second_writer_of_a_version_fails(spark):
     with pytest.raises(RuntimeError, match="another writer"):
         store._publish(store._manifest())
 
+    # without hard links the next version is published all the same, and an old one isn't overwritten
+    class Files:
+        def __init__(self, real):
+            self.createLink, self.move = self.refuse, real.move
+
+        def refuse(self, *a):
+            raise OSError("Operation not supported")
+
+    class Jvm:
+        def __init__(self, real):
+            self.org, self.java = real.org, type("J", (), {"nio": type("N", (), {"file": type("F", (), {"Files": Files(real.java.nio.file.Files), "Path": real.java.nio.file.Path, "CopyOption": real.java.nio.file.CopyOption})})})
+
+    store.jvm = Jvm(store.jvm)
+    store.merge(spark.createDataFrame([(2, 0, 0, "b", None, "", "", 0)], SCHEMA))
+    assert sorted(r.item_row for r in store.winners().collect()) == [1, 2]
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(store._manifest())
+
 
 def test_many_merges_are_compacted(spark):
     store = DeliveryStore(spark, scratch_path(spark, "t"), entry_key(), "item_row", lambda col: col("batch_id"), buckets=2)
