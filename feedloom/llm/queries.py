@@ -42,17 +42,17 @@ GARBLED = ("title", "content_html")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    model, _ = mojibake.train(table(spark, d, "documents"), "text", "doc_id")
+    model, _ = mojibake.train_whole(table(spark, d, "documents"), "text", "doc_id")
     return mojibake.found(table(spark, d, "items"), "item_row", GARBLED, model)
 
 
 def p5_validation(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mojibake.train(table(spark, d, "documents"), "text", "doc_id")
+    _, report = mojibake.train_whole(table(spark, d, "documents"), "text", "doc_id", others=True)
     return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} {'bigint' if isinstance(v, int) else 'double'}" for k, v in report.items()))
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
-    model, _ = mojibake.train(table(spark, d, "documents"), "text", "doc_id")
+    model, _ = mojibake.train_whole(table(spark, d, "documents"), "text", "doc_id")
     return mojibake.restored(table(spark, d, "items"), "item_row", GARBLED, model)
 
 

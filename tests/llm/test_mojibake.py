@@ -41,6 +41,40 @@ def test_the_margin_comes_from_words_held_out(spark, monkeypatch):
         m.train(df, "text", "id")
 
 
+def test_every_record_counts_and_every_word_is_judged(spark, tmp_path):
+    """All folds are in the model and each is held out once; long words are judged as well."""
+    from pyspark.sql import functions as F
+
+    from feedloom.llm import queries
+
+    fold, long = F.pmod(F.xxhash64("doc_id"), F.lit(m.HELD_OUT)), "日曜に新しい市場が倍になりました。" * 5
+    text = F.when(fold == 0, "żółw").when(fold == 5, "CafÃ© für").when(fold == 7, long).otherwise("Café ist schön über")
+    docs = spark.range(2000).select(F.col("id").alias("doc_id")).withColumn("text", text)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.p5_validation(spark, str(tmp_path)).first()
+    assert got.words == 1 + 2 + 1 + 13 * 3 and got.garbled_utf8 + got.garbled_other > 0
+    model, report = m.train_whole(docs, "text", "doc_id")
+    assert {ord(a) << 21 | ord(z) for a, z in ("żó", "Ã©", "日曜", "ön")} <= set(model.logs)
+    assert report["margin"] == model.margin == got.margin > m.LEAST_MARGIN and report["false_rate"] == 0
+    # the odd words of fold 5 are judged by counts without them, and no chain of theirs may pass
+    without, _ = m.train_whole(docs.where(fold != 5), "text", "doc_id")
+    assert without.best("CafÃ©")[0] <= model.margin
+
+
+def test_the_margin_is_the_rate_over_all_words(spark, monkeypatch):
+    """With a rate that lets some words change, the margin is the gain of the first that may not."""
+    df = spark.createDataFrame([(k, "Café ist schön über" if k % 40 else f"CafÃ© {'Ã¼' * (k // 40 + 1)}") for k in range(800)], "id bigint, text string")
+    monkeypatch.setattr(m, "FALSE_RATE", 0.05)
+    rows = m._folds(df, "text", "id")
+    tried = m._tried(rows, m._tallied(rows), range(m.HELD_OUT), False)
+    clean = [r.gain for r in tried.where("utf8 is null").collect()]
+    gains = sorted((g for g in clean if g is not None), reverse=True)
+    model, report = m.train_whole(df, "text", "id")
+    assert report["words"] == len(clean) and 0 < int(len(clean) * 0.05) < len(gains)
+    assert report["margin"] == max(m.LEAST_MARGIN, gains[int(len(clean) * 0.05)] + 0.1)
+    assert report["false_rate"] == sum(g > report["margin"] for g in gains) / len(clean) <= 0.05
+
+
 def test_clean_stays(model):
     for t in set(CLEAN) | {"", "plain", "ÃO, ÇÃO e ÕES: lição 189", "Ångström 587 °C ± 2 £9 ½ № ™"}:
         assert not m.check(t, model), t
